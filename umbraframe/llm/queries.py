@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from umbraframe.llm import bpe, planes, secrets, wumanber
+from umbraframe.llm import bpe, chat, neardedup, planes, secrets, wumanber
 from umbraframe.llm.common import load, shared_dir
 
 
@@ -12,6 +12,14 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.secret_report(load(spark, sf_dir, "documents"))
 
 
+def op2_simhash_golay(spark, sf_dir):
+    return neardedup.near_duplicate_report(load(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark, sf_dir):
+    return chat.chat_report(load(spark, sf_dir, "conversations"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     return bpe.bpe_report(load(spark, sf_dir, "documents"))
 
@@ -24,5 +32,5 @@ def op7_decontamination(spark, sf_dir):
     return wumanber.decontamination_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_byte_bpe, op5_token_files, op7_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_golay, op3_chat_format, op4_byte_bpe, op5_token_files, op7_decontamination)}
 ORACLES: dict[str, str] = {}
