@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that one Arrow batch holds at most; a batch is what a Python worker has in memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
