@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from umbraframe.llm.common import map_batches, record_batch, texts_of
 
-#: Entries that a worker's caches hold at most; a full cache is emptied.
+#: Entries that a worker's caches hold at most.
 CACHE_UNITS, CACHE_PAIRS = 300_000, 400_000
 #: Unicode White_Space, which is what the split pattern's \s stands for.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -111,6 +113,13 @@ class Vocabulary:
                 until, right = right + 1, self.halves(right)[0]
 
 
+def _trim(cache: dict) -> None:
+    """A full cache keeps its older half: what is frequent comes early."""
+    if len(cache) >= CACHE_UNITS:
+        for old in list(islice(cache, CACHE_UNITS // 2, None)):
+            del cache[old]
+
+
 class PrefixEncoding:
     """The encoding of a growing byte string: last[i] is the last token of the first i bytes."""
 
@@ -192,8 +201,7 @@ class Encoder:
                 known = [token]
             else:
                 known = PrefixEncoding(self.vocabulary, raw).tokens()
-            if len(self._pieces) >= CACHE_UNITS:
-                self._pieces.clear()
+            _trim(self._pieces)
             if len(piece) <= 64:
                 self._pieces[piece] = known
         return known
@@ -202,8 +210,7 @@ class Encoder:
         ids: list[int] = []
         for piece in self.split.findall(unit):
             ids += self.encode_piece(piece)
-        if len(self._units) >= CACHE_UNITS:
-            self._units.clear()
+        _trim(self._units)
         out = np.array(ids, "<u4").tobytes()
         if len(unit) <= 64:
             self._units[unit] = out

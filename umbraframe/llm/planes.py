@@ -15,10 +15,13 @@ and only complete tables are seen; `export_files` writes them out one by one.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,18 @@ BLOCK = 1 << 16
 #: Ids after which a file ends; a single longer document still stays in one file.
 FILE_IDS = 1 << 21
 CACHE_WORDS = 400_000
+#: Marks that compose with an ASCII letter.
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level models write a visible Latin-1 byte as itself and the others, in order, from code point 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 def to_planes(ids: np.ndarray, planes: int, bits: bool) -> list[bytes]:
@@ -118,32 +133,61 @@ class TokenFile:
             yield doc, start, have[start - have_from : end - have_from]
 
 
+class _Known(dict):
+    """Ids by word. A word that ends in punctuation is put together from what stands before it and the punctuation,
+    as the splitter always cuts between a letter and a run of such signs. A full cache keeps its older half: words
+    that are frequent come early."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.library = library
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,;:!?")
+        if len(core) < len(word) and core and core.decode("utf-8", "replace")[-1].isalpha():
+            ids = self[core] + self[word[len(core) :]]
+        else:
+            ids = array("I", self._by_library(word)).tobytes()
+        if len(self) >= CACHE_WORDS:
+            for old in list(islice(self, CACHE_WORDS // 2, None)):
+                del self[old]
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+    def _by_library(self, word: bytes) -> list[int]:
+        """A word of lower-case letters is one piece that the normaliser leaves alone: the model takes it as it is, byte
+        by byte in the alphabet of byte-level models. Any other word goes the whole way."""
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            return [t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(_ALPHABET))]
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
 class WordTokenizer:
     """The library's tokenizer with a cache by word.
 
     The vocabulary's normaliser and splitter never look across white space, so the ids of a text are those of its
-    words, one after the other. Words not seen before go to the library in one batch.
+    words, one after the other. A-Z are lower-cased first, as the normaliser does it later on, unless the text has
+    marks that could be composed with a letter before that.
     """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(file)
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(Tokenizer.from_file(file))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(set().union(*words).difference(known))
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            for word, encoded in zip(some, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[word] = array("I", encoded.ids).tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        out, ids_of = [], self.known.__getitem__
+        for text in texts:
+            raw = text.encode("utf-8", "surrogatepass")
+            if text.isascii() or not _MARKS.search(text):
+                raw = raw.lower()
+            out.append(b"".join(map(ids_of, raw.split())))
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
