@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from umbraframe.llm import bpe, chat, neardedup, planes, secrets, wumanber
+from umbraframe.llm import bpe, chat, neardedup, planes, rlz, secrets, simhash, wordpiece, wumanber
 from umbraframe.llm.common import load, shared_dir
 
 
@@ -28,9 +28,28 @@ def op5_token_files(spark, sf_dir):
     return planes.token_file_report(load(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}")
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return rlz.repeats_report(load(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return wumanber.decontamination_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash_golay, op3_chat_format, op4_byte_bpe, op5_token_files, op7_decontamination)}
+def op8_token_counts(spark, sf_dir):
+    return wordpiece.count_tokens(load(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark, sf_dir):
+    return simhash.fingerprints_in_order(load(spark, sf_dir, "documents"))
+
+
+def simhash_search(spark, sf_dir):
+    return simhash.search_classes(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_simhash_golay, op3_chat_format, op4_byte_bpe, op5_token_files, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_simhash, simhash_search)
+}
 ORACLES: dict[str, str] = {}
