@@ -160,8 +160,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Equal fingerprints are linked; so are all null, empty and blank texts (fingerprint 0). Rows of one id that
     have different texts are rows of their own: each gets the component of its own fingerprint. Other columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. Rows without an id have no result.
     """
+    documents = documents.where(F.col(id_col).isNotNull())
     fps = cut(fingerprints(documents, id_col, text_col))
     reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
     edges = links(reps)
@@ -174,3 +175,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def near_duplicate_report(documents: DataFrame) -> DataFrame:
     out = near_duplicates(documents)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest id, with all its columns; of rows that share this id the
+    first in no particular order. Rows without an id stay, as they can't be told apart."""
+    own = near_duplicates(documents, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    kept = own.groupBy(F.col(id_col).alias("_nd_id")).agg(F.count(F.lit(1)).alias("_nd_rows"))
+    joined = documents.join(kept, F.col(id_col) == F.col("_nd_id"))
+    single = joined.where("_nd_rows = 1").select(*documents.columns)
+    several = joined.where("_nd_rows > 1").dropDuplicates([id_col]).select(*documents.columns)
+    return single.unionByName(several).unionByName(documents.where(F.col(id_col).isNull()))

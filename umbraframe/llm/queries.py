@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from umbraframe.llm import bpe, chat, neardedup, planes, rlz, secrets, simhash, wordpiece, wumanber
+from umbraframe.llm import bpe, chat, neardedup, planes, rlz, secrets, simhash, toxicity, wordpiece, wumanber
 from umbraframe.llm.common import load, shared_dir
 
 
@@ -44,12 +44,16 @@ def op9_simhash(spark, sf_dir):
     return simhash.fingerprints_in_order(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def simhash_search(spark, sf_dir):
     return simhash.search_classes(load(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_simhash_golay, op3_chat_format, op4_byte_bpe, op5_token_files, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_simhash, simhash_search)
+    for f in (op1_secret_scan, op2_simhash_golay, op3_chat_format, op4_byte_bpe, op5_token_files, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_simhash, op10_toxicity, simhash_search)
 }
 ORACLES: dict[str, str] = {}

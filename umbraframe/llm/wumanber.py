@@ -109,37 +109,42 @@ def _tables(name: str, broadcast, window: int) -> list[PatternTable]:
     return _built[name]
 
 
-def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: id, the columns in `keep`, n_words, n_hit, items (sorted as strings), spans.
+#: What a search adds to the rows it passes through; the prefix keeps clear of columns that the table has.
+_STATE = {"_wm_words": ("bigint", pa.int64()), "_wm_starts": ("array<int>", pa.list_(pa.int32())), "_wm_lengths": ("array<int>", pa.list_(pa.int32())), "_wm_items": ("array<string>", pa.list_(pa.string()))}
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def search(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows as they are, with what the passes over all benchmark blocks found (columns of _STATE)."""
+    context = documents.sparkSession.sparkContext
+    empty = {n: F.lit(0).cast(t) if t == "bigint" else F.array().cast(t) for n, (t, _) in _STATE.items()}
+    df = documents.withColumns(empty)
+    blocks = 0
+    for block in _blocks(benchmark, item_col, item_text_col):
+        df, blocks = map_batches(df, _pass(context.broadcast(block), text_col, window), df.schema), blocks + 1
+    return df if blocks else map_batches(df, _pass(context.broadcast([]), text_col, window), df.schema)
+
+
+def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row for each document: id, n_words, n_hit, items (sorted as strings), spans.
 
     spans are merged word ranges [start, end) covered by benchmark windows. A null or empty text has no words and
     no hits; repeated rows give repeated results; an empty benchmark gives no hits; other columns are ignored.
     """
-    spark = documents.sparkSession
-    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
-    df = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in df.schema.fields[2:])
-    state = "id bigint, text string" + kinds + ", n_words bigint, starts array<int>, lengths array<int>, items array<string>"
-    df = df.selectExpr("*", "0L n_words", "cast(array() as array<int>) starts", "cast(array() as array<int>) lengths", "cast(array() as array<string>) items")
-    blocks = 0
-    for block in _blocks(benchmark, item_col, item_text_col):
-        df, blocks = map_batches(df, _pass(spark.sparkContext.broadcast(block), window), state), blocks + 1
-    if not blocks:
-        df = map_batches(df, _pass(spark.sparkContext.broadcast([]), window), state)
-    out = "id bigint" + kinds + ", n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
-    df = map_batches(df.drop("text"), _merge, out)
-    return df.select(F.col("id").alias(id_col), *[F.col(f"keep_{c}").alias(c) for c in keep], "n_words", "n_hit", "items", "spans")
+    df = search(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, "text", item_col, item_text_col, window)
+    out = map_batches(df.drop("text"), _merge, "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>")
+    return out.withColumnRenamed("id", id_col)
 
 
-def _pass(broadcast, window: int):
+def _pass(broadcast, text_col: str, window: int):
     name = uuid.uuid4().hex
 
     def run(batches):
         tables = _tables(name, broadcast, window)
         for batch in batches:
             n_words, starts, lengths, items = [], [], [], []
-            before = zip(batch.column("starts").to_pylist(), batch.column("lengths").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for text, (s, l, i) in zip(texts_of(batch), before, strict=True):
+            before = zip(*(batch.column(c).to_pylist() for c in ("_wm_starts", "_wm_lengths", "_wm_items")), strict=True)
+            for text, (s, l, i) in zip(texts_of(batch, text_col), before, strict=True):
                 words, found = words_of(text), set(i)
                 for table in tables:
                     for start, owners in table.search(words):
@@ -150,26 +155,46 @@ def _pass(broadcast, window: int):
                 starts.append(s)
                 lengths.append(l)
                 items.append(sorted(found))
-            own = {"n_words": pa.array(n_words, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "lengths": pa.array(lengths, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+            own = {n: pa.array(v, t) for (n, (_, t)), v in zip(_STATE.items(), (n_words, starts, lengths, items), strict=True)}
             yield record_batch({c: own.get(c, batch.column(c)) for c in batch.schema.names})
 
     return run
 
 
+def merged(starts: list[int], lengths: list[int]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for start, length in sorted(zip(starts, lengths, strict=True)):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + length)
+        else:
+            out.append([start, start + length])
+    return out
+
+
 def _merge(batches):
     for batch in batches:
-        hits, spans = [], []
-        for starts, lengths in zip(batch.column("starts").to_pylist(), batch.column("lengths").to_pylist(), strict=True):
-            merged: list[list[int]] = []
-            for start, length in sorted(zip(starts, lengths, strict=True)):
-                if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], start + length)
-                else:
-                    merged.append([start, start + length])
-            hits.append(sum(e - s for s, e in merged))
-            spans.append([{"start": s, "end": e} for s, e in merged])
-        kept = {c: batch.column(c) for c in batch.schema.names if c not in ("starts", "lengths", "items")}
-        yield record_batch(kept | {"n_hit": pa.array(hits, pa.int64()), "items": batch.column("items"), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
+        spans = [merged(s, l) for s, l in zip(batch.column("_wm_starts").to_pylist(), batch.column("_wm_lengths").to_pylist(), strict=True)]
+        yield record_batch({
+            "id": batch.column("id"), "n_words": batch.column("_wm_words"), "n_hit": pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()),
+            "items": batch.column("_wm_items"), "spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS),
+        })
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that the contract's rule does not call contaminated, with all their columns."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("_wm_words", "_wm_starts", "_wm_lengths")), strict=True)
+            hits = [(n, sum(b - a for a, b in merged(s, l))) for n, s, l in rows]
+            yield batch.filter(pa.array([not contaminated_row(h, n) for n, h in hits], pa.bool_()))
+
+    found = search(documents, benchmark, text_col)
+    return map_batches(found, run, found.schema).select(*documents.columns)
+
+
+def contaminated_row(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
 
 
 def contaminated(n_hit, n_words):
