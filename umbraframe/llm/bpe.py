@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from umbraframe.llm.common import map_batches, record_batch, texts_of
 
 #: Entries that a worker's caches hold at most.
-CACHE_UNITS, CACHE_PAIRS = 300_000, 400_000
+CACHE_UNITS, CACHE_PIECES, CACHE_PAIRS = 700_000, 300_000, 400_000
 #: Unicode White_Space, which is what the split pattern's \s stands for.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -41,7 +42,7 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left << 32 | right
         self._own: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int]] = {}
         self._suffix_lengths = self._lengths()
@@ -77,11 +78,11 @@ class Vocabulary:
         return known
 
     def neighbours(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
+        known = self._pairs.get(left << 32 | right)
         if known is None:
             if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self._stay_apart(left, right)
+            known = self._pairs[left << 32 | right] = self._stay_apart(left, right)
         return known
 
     def halves(self, token: int) -> tuple[int, int]:
@@ -113,10 +114,10 @@ class Vocabulary:
                 until, right = right + 1, self.halves(right)[0]
 
 
-def _trim(cache: dict) -> None:
+def _trim(cache: dict, most: int) -> None:
     """A full cache keeps its older half: what is frequent comes early."""
-    if len(cache) >= CACHE_UNITS:
-        for old in list(islice(cache, CACHE_UNITS // 2, None)):
+    if len(cache) >= most:
+        for old in list(islice(cache, most // 2, None)):
             del cache[old]
 
 
@@ -143,7 +144,7 @@ class PrefixEncoding:
                         break
                     continue
                 before = last[end - size]
-                ok = pairs((before, token))
+                ok = pairs(before << 32 | token)
                 if ok is None:
                     ok = own(token) and neighbours(before, token)
                 if ok:
@@ -187,31 +188,28 @@ class Encoder:
         # Units that no match of the pattern crosses: a space with what follows it up to the next white space.
         self.units = re.compile(rf"\x20?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self._units: dict[str, bytes] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         return self.split.findall(text)
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def encode_piece(self, piece: str) -> bytes:
         known = self._pieces.get(piece)
         if known is None:
             raw = piece.encode("utf-8", "surrogatepass")
             token = self.vocabulary.ranks.get(raw)
             if token is not None and self.vocabulary.reachable(token):
-                known = [token]
+                known = array("I", [token]).tobytes()
             else:
-                known = PrefixEncoding(self.vocabulary, raw).tokens()
-            _trim(self._pieces)
+                known = array("I", PrefixEncoding(self.vocabulary, raw).tokens()).tobytes()
+            _trim(self._pieces, CACHE_PIECES)
             if len(piece) <= 64:
                 self._pieces[piece] = known
         return known
 
     def _unit(self, unit: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split.findall(unit):
-            ids += self.encode_piece(piece)
-        _trim(self._units)
-        out = np.array(ids, "<u4").tobytes()
+        out = b"".join(map(self.encode_piece, self.split.findall(unit)))
+        _trim(self._units, CACHE_UNITS)
         if len(unit) <= 64:
             self._units[unit] = out
         return out
