@@ -114,7 +114,9 @@ def _emit(batches):
         n = np.add.reduceat((~known).astype(np.int64), heads)
         ends = np.concatenate([[0], np.cumsum(n * _HASH)]).astype("<i4")
         data = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
-        yield record_batch({"anchor": pa.array(w["anchor"][heads].view(np.int64)), "doc": pa.array(w["doc"][heads]), "place": pa.array(w["start"][heads] << 32 | sent << 16 | done), "hashes": data})
+        # A row without hashes only carries marks on; it goes anywhere, so that settled copies don't pile up.
+        anchor = np.where(sent > 0, w["anchor"][heads], _mixed(w["doc"][heads].astype(np.uint64) * _BASE + w["start"][heads].astype(np.uint64)))
+        yield record_batch({"anchor": pa.array(anchor.view(np.int64)), "doc": pa.array(w["doc"][heads]), "place": pa.array(w["start"][heads] << 32 | sent << 16 | done), "hashes": data})
 
 
 def _bits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
