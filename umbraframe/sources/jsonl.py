@@ -60,7 +60,9 @@ def write_corpus(df: DataFrame, path: str, metadata: dict) -> None:
 def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON file that is an array, or has them under data or records."""
     whole = spark.read.text(path, wholetext=True)
-    parsed = F.coalesce(F.from_json("value", f"array<struct<{_struct(RAW)}>>"), F.from_json(F.get_json_object("value", "$.data"), f"array<struct<{_struct(RAW)}>>"), F.from_json(F.get_json_object("value", "$.records"), f"array<struct<{_struct(RAW)}>>"))
+    records = f"array<struct<{_struct(RAW)}>>"
+    inner = F.coalesce(F.get_json_object("value", "$.data"), F.get_json_object("value", "$.records"))
+    parsed = F.from_json(F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(inner), records)
     return whole.select(F.input_file_name().alias("source_file"), F.posexplode(parsed).alias("n", "r")).select("source_file", (F.col("n") + 1).cast("bigint").alias("source_row"), "r.*")
 
 
