@@ -15,16 +15,17 @@ import re
 from array import array
 from itertools import islice
 
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import map_batches, record_batch, texts_of
+from umbraframe.llm.common import held, map_batches, record_batch, texts_of
 
 #: Entries that a worker's caches hold at most.
-CACHE_UNITS, CACHE_PIECES, CACHE_PAIRS = 700_000, 300_000, 400_000
+CACHE_UNITS, CACHE_PIECES, CACHE_PAIRS = 500_000, 200_000, 250_000
 #: Unicode White_Space, which is what the split pattern's \s stands for.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -222,15 +223,9 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(file: str, pattern: str) -> Encoder:
     """One for each Python worker; the ranks file must be on every machine, as the library it comes with is."""
-    key = (file, pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(read_ranks(file), pattern)
-    return _encoders[key]
+    return held(("bpe", file, pattern), lambda: Encoder(read_ranks(file), pattern))
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -239,25 +234,18 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """One row for each document: id and ids (binary, little-endian uint32). Null counts as empty, without ids."""
-    file, pattern = tokenizer or default_tokenizer()
-
+def _encode(tokenizer: tuple[str, str]):
     def run(batches):
-        enc = encoder(file, pattern)
+        enc = encoder(*tokenizer)
         for batch in batches:
             yield record_batch({"id": batch.column("id"), "ids": pa.array([enc.encode(t) for t in texts_of(batch)], pa.binary())})
 
-    df = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(df, run, "id bigint, ids binary").withColumnRenamed("id", id_col)
-
+    return run
 
-def decode_documents(encoded: DataFrame, id_col: str = "doc_id", tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """ids back to the texts' bytes, with the digest of ids and bytes."""
-    file, pattern = tokenizer or default_tokenizer()
 
+def _decode(tokenizer: tuple[str, str]):
     def run(batches):
-        enc = encoder(file, pattern)
+        enc = encoder(*tokenizer)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             raw = [enc.decode(i) for i in ids]
@@ -267,12 +255,32 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", tokenizer: tupl
                 "decoded_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in raw]),
             })
 
+    return run
+
+
+_DECODED = "id bigint, ids binary, raw binary, ids_sha256 string, decoded_sha256 string"
+
+
+def encode_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple[str, str] | None = None) -> DataFrame:
+    """One row for each document: id and ids (binary, little-endian uint32). Null counts as empty, without ids."""
+    df = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(df, _encode(tokenizer or default_tokenizer()), "id bigint, ids binary").withColumnRenamed("id", id_col)
+
+
+def decode_documents(encoded: DataFrame, id_col: str = "doc_id", tokenizer: tuple[str, str] | None = None) -> DataFrame:
+    """ids back to the texts' bytes, with the digest of ids and bytes."""
     df = encoded.select(F.col(id_col).alias("id"), "ids")
-    out = map_batches(df, run, "id bigint, ids binary, raw binary, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    return map_batches(df, _decode(tokenizer or default_tokenizer()), _DECODED).withColumnRenamed("id", id_col)
+
+
+def round_trip(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple[str, str] | None = None) -> DataFrame:
+    """Encoding and decoding one after the other in the same worker: id, ids, raw and their digests."""
+    tokenizer = tokenizer or default_tokenizer()
+    encode, decode = _encode(tokenizer), _decode(tokenizer)
+    df = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(df, lambda batches: decode(encode(batches)), _DECODED).withColumnRenamed("id", id_col)
 
 
 def bpe_report(documents: DataFrame) -> DataFrame:
     """Repeated rows give repeated results; other columns are ignored."""
-    decoded = decode_documents(encode_documents(documents))
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+    return round_trip(documents).select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids_sha256", "decoded_sha256")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import map_batches, partitions_for, record_batch
+from umbraframe.llm.common import held, map_batches, partitions_for, record_batch
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -69,19 +69,18 @@ def mask(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) ->
     return [(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True) if b > a]
 
 
-_tokenizers: dict = {}
-
-
 def chat_tokenizer(file: str):
     """The vocabulary with the control strings as further tokens."""
-    if file not in _tokenizers:
+
+    def build():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import AddedToken, Tokenizer
 
         tokenizer = Tokenizer.from_file(file)
         tokenizer.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in (START, SEP, END)])
-        _tokenizers[file] = tokenizer
-    return _tokenizers[file]
+        return tokenizer
+
+    return held(("chat", file), build)
 
 
 def default_tokenizer() -> str:

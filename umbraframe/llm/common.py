@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from umbraframe.sources.state import shared_dir, stored
+
+#: Materialises a frame in the shared folder and cuts its lineage; lost executors don't matter afterwards.
+cut = stored
+
+__all__ = ["cut", "held", "load", "map_batches", "partitions_for", "record_batch", "shared_dir", "texts_of"]
+
 #: Rows and bytes that one Arrow batch holds at most; a batch is what a Python worker has in memory.
-BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,29 +31,29 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a temporary one."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="umbraframe-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises a frame in the shared folder and cuts its lineage; lost executors don't matter afterwards."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with bounded batches."""
     bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+_held: dict = {}
+
+
+def held(key, build: Callable):
+    """What a Python worker keeps between tasks: one operator's tables or caches at a time, as workers are used again
+    by every operator of an application."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the system, where the C library can do that
+        except (OSError, AttributeError):
+            pass
+        _held[key] = build()
+    return _held[key]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; a null counts as an empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

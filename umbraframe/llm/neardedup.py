@@ -181,8 +181,9 @@ def keep_one_each(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each component, the one with the smallest id, with all its columns; of rows that share this id the
     first in no particular order. Rows without an id stay, as they can't be told apart."""
     own = near_duplicates(documents, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    kept = own.groupBy(F.col(id_col).alias("_nd_id")).agg(F.count(F.lit(1)).alias("_nd_rows"))
-    joined = documents.join(kept, F.col(id_col) == F.col("_nd_id"))
-    single = joined.where("_nd_rows = 1").select(*documents.columns)
-    several = joined.where("_nd_rows > 1").dropDuplicates([id_col]).select(*documents.columns)
-    return single.unionByName(several).unionByName(documents.where(F.col(id_col).isNull()))
+    kept = cut(own.groupBy(F.col(id_col).alias("_nd_id")).agg(F.count(F.lit(1)).alias("_nd_rows")))
+    named = lambda ids: documents.join(ids, F.col(id_col) == F.col("_nd_id"), "left_semi")
+    out, several = named(kept.where("_nd_rows = 1")), kept.where("_nd_rows > 1")
+    if not several.isEmpty():
+        out = out.unionByName(named(several).dropDuplicates([id_col]))
+    return out.unionByName(documents.where(F.col(id_col).isNull()))

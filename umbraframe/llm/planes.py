@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import map_batches, partitions_for, record_batch, texts_of
+from umbraframe.llm.common import held, map_batches, partitions_for, record_batch, texts_of
 
 MAGIC, VERSION = b"UFTP", 1
 HEAD = struct.Struct("<4sIIIIIQQ")
@@ -144,7 +144,7 @@ class _Known(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(b".,;:!?")
-        if len(core) < len(word) and core and core.decode("utf-8", "replace")[-1].isalpha():
+        if len(core) < len(word) and core and core.decode("utf-8", "replace")[-1].lower()[-1].isalpha():
             ids = self[core] + self[word[len(core) :]]
         else:
             ids = array("I", self._by_library(word)).tobytes()
@@ -190,13 +190,8 @@ class WordTokenizer:
         return out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(file: str) -> WordTokenizer:
-    if file not in _tokenizers:
-        _tokenizers[file] = WordTokenizer(file)
-    return _tokenizers[file]
+    return held(("words", file), lambda: WordTokenizer(file))
 
 
 def default_tokenizer() -> tuple[str, int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import map_batches, record_batch, texts_of
+from umbraframe.llm.common import held, map_batches, record_batch, texts_of
 
 
 @dataclass(frozen=True)
@@ -201,13 +201,8 @@ class Scanner:
         return out
 
 
-_scanners: dict[tuple[Rule, ...], Scanner] = {}
-
-
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
-    if rules not in _scanners:
-        _scanners[rules] = Scanner(rules)
-    return _scanners[rules]
+    return held(("secrets", rules), lambda: Scanner(rules))
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbraframe.llm.bpe import read_ranks
-from umbraframe.llm.common import map_batches, record_batch, texts_of
+from umbraframe.llm.common import held, map_batches, record_batch, texts_of
 
 CACHE_WORDS = 400_000
 
@@ -90,13 +90,8 @@ class _Counts(dict):
         return n
 
 
-_counts: dict[tuple[str, bytes], _Counts] = {}
-
-
 def counts(file: str, prefix: bytes) -> _Counts:
-    if (file, prefix) not in _counts:
-        _counts[file, prefix] = _Counts(Automaton(read_ranks(file)), prefix)
-    return _counts[file, prefix]
+    return held(("pieces", file, prefix), lambda: _Counts(Automaton(read_ranks(file)), prefix))
 
 
 def default_vocabulary() -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import map_batches, record_batch, texts_of
+from umbraframe.llm.common import held, map_batches, record_batch, texts_of
 
 WINDOW = 13
 #: Words of benchmark text that one broadcast block holds at most, unless a single item has more.
@@ -97,16 +97,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield block
 
 
-_built: dict[str, list[PatternTable]] = {}
-
-
 def _tables(name: str, broadcast, window: int) -> list[PatternTable]:
-    """A worker builds a block's tables once and keeps the last two blocks."""
-    if name not in _built:
-        if len(_built) >= 2:
-            _built.clear()
-        _built[name] = tables_for(broadcast.value, window)
-    return _built[name]
+    """A worker builds a block's tables once."""
+    return held(("benchmark", name), lambda: tables_for(broadcast.value, window))
 
 
 #: What a search adds to the rows it passes through; the prefix keeps clear of columns that the table has.
@@ -114,15 +107,18 @@ _STATE = {"_wm_words": ("bigint", pa.int64()), "_wm_starts": ("array<int>", pa.l
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def search(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows as they are, with what the passes over all benchmark blocks found (columns of _STATE)."""
+def search(documents: DataFrame, benchmark: DataFrame, finish, schema, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Passes over the rows for all benchmark blocks, which add the columns of _STATE; `finish` takes the batches of the
+    last pass in the same worker."""
     context = documents.sparkSession.sparkContext
     empty = {n: F.lit(0).cast(t) if t == "bigint" else F.array().cast(t) for n, (t, _) in _STATE.items()}
     df = documents.withColumns(empty)
-    blocks = 0
+    last = None
     for block in _blocks(benchmark, item_col, item_text_col):
-        df, blocks = map_batches(df, _pass(context.broadcast(block), text_col, window), df.schema), blocks + 1
-    return df if blocks else map_batches(df, _pass(context.broadcast([]), text_col, window), df.schema)
+        df = map_batches(df, last, df.schema) if last else df
+        last = _pass(context.broadcast(block), text_col, window)
+    last = last or _pass(context.broadcast([]), text_col, window)
+    return map_batches(df, lambda batches: finish(last(batches)), schema)
 
 
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -131,9 +127,9 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spans are merged word ranges [start, end) covered by benchmark windows. A null or empty text has no words and
     no hits; repeated rows give repeated results; an empty benchmark gives no hits; other columns are ignored.
     """
-    df = search(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, "text", item_col, item_text_col, window)
-    out = map_batches(df.drop("text"), _merge, "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>")
-    return out.withColumnRenamed("id", id_col)
+    df = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
+    return search(df, benchmark, _merge, schema, "text", item_col, item_text_col, window).withColumnRenamed("id", id_col)
 
 
 def _pass(broadcast, text_col: str, window: int):
@@ -187,10 +183,10 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("_wm_words", "_wm_starts", "_wm_lengths")), strict=True)
             hits = [(n, sum(b - a for a, b in merged(s, l))) for n, s, l in rows]
-            yield batch.filter(pa.array([not contaminated_row(h, n) for n, h in hits], pa.bool_()))
+            yield batch.filter(pa.array([not contaminated_row(h, n) for n, h in hits], pa.bool_())).select(documents_columns)
 
-    found = search(documents, benchmark, text_col)
-    return map_batches(found, run, found.schema).select(*documents.columns)
+    documents_columns = documents.columns
+    return search(documents, benchmark, run, documents.schema, text_col)
 
 
 def contaminated_row(n_hit: int, n_words: int) -> bool:
