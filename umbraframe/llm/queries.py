@@ -6,6 +6,7 @@ import uuid
 
 from umbraframe.llm import bpe, chat, neardedup, planes, rlz, secrets, simhash, toxicity, wordpiece, wumanber
 from umbraframe.llm.common import load, shared_dir
+from umbraframe.llm.oracles import ORACLES
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -56,4 +57,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_secret_scan, op2_simhash_golay, op3_chat_format, op4_byte_bpe, op5_token_files, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_simhash, op10_toxicity, simhash_search)
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
