@@ -34,8 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its id, token ids (little-endian uint32), their number and digests of ids and decoded bytes."""
-    decoded = bpe.decode_documents(bpe.encode_documents(docs))
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(docs).select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("byte_bpe", encode)]
