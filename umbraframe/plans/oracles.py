@@ -167,3 +167,18 @@ ORACLES["cancelled_results"] = """SELECT event_id, user_id FROM events r WHERE e
 ORACLES["text_offsets"] = "SELECT doc_id, cp, cast(strlen(substr(text, 1, cp)) AS BIGINT) AS byte_at, cp AS back, md5(substr(text, cp + 1)) AS rest FROM (SELECT doc_id, text, cast(length(text) // 2 AS BIGINT) AS cp FROM documents) d"
 ORACLES["anonymized_replies"] = r"""SELECT conv_id, turn, regexp_matches(text, '\[?[A-Z]{2,}[A-Z_]*[_ ]?\d+\]?') AS gate, lower(regexp_replace(regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS key,
   CASE WHEN length(h) > 30 THEN substr(h, 1, 27) || '...' ELSE h END AS shown FROM (SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS h FROM conversations WHERE role = 'assistant' AND length(text) >= 10) c"""
+
+_TIERED = f"(SELECT *, CASE WHEN gb IS NULL OR gb <= 0 THEN 'unknown' WHEN gb <= 2 THEN 'critical' WHEN gb <= 4 THEN 'warning' ELSE 'ok' END AS tier FROM ({Q._HOSTS}) h)"
+ORACLES["host_rules"] = f"""SELECT host_id, tier, CASE tier WHEN 'critical' THEN 'auto-disable-local-ai' WHEN 'ok' THEN 'none' ELSE 'warn' END AS recommendation,
+  provider <> 'off' AND state = 'enabled' AND tier = 'ok' AND gpu <> 'unavailable' AND NOT on_cpu AS warm_up,
+  CASE state WHEN 'off-load-failure' THEN 'model-failed' WHEN 'off-user-choice' THEN 'pattern-only' WHEN 'off-low-memory-auto' THEN CASE WHEN tier = 'critical' AND modal <> 'pending' THEN 'low-memory-protection' END
+    ELSE CASE WHEN tier = 'warning' THEN 'low-memory-warning' WHEN tier = 'unknown' THEN 'unknown-memory' WHEN on_cpu THEN 'running-on-cpu' END END AS chip, split_part(said, ':', 1) AS tone, split_part(said, ':', 2) AS title
+  FROM (SELECT *, CASE WHEN state = 'off-load-failure' THEN 'critical:Local AI failed to load' WHEN state = 'off-low-memory-auto' THEN 'critical:Low memory protection mode' WHEN provider = 'off' OR state = 'off-user-choice' THEN 'info:Local AI detection off'
+    WHEN on_cpu THEN 'warning:Local AI is running on CPU' WHEN tier = 'warning' THEN 'warning:Local AI may be resource-intensive' WHEN tier = 'unknown' THEN 'warning:Compatibility uncertain' END AS said FROM {_TIERED} t) x"""
+_ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_TAG = """'<span class="pg-highlight pg-highlight-' || lower(entity_type) || CASE WHEN score >= greatest(b, 0.5) THEN '' ELSE ' pg-highlight-off' END || '" data-pg-span-index="' || cast(n AS VARCHAR) || '" title="' || entity_type || ' (' || cast(cast(round(score * 100) AS INT) AS VARCHAR) || '%)">'"""
+ORACLES["highlighted_html"] = f"""WITH n AS (SELECT d.*, t.b, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS n FROM ({duck.detected(_FENCED_ROWS)}) d JOIN ({_TYPE_ROWS}) t USING (entity_type)),
+  v AS (SELECT n.* FROM n LEFT JOIN ({_REGIONS}) g ON g.text_id = n.id AND n.s >= g.region_start AND n.s < g.region_end WHERE g.text_id IS NULL),
+  p AS (SELECT v.id, v.cs, v.ce, {_ESC.format('substr(f.text, coalesce(lag(v.ce) OVER w, 0) + 1, v.cs - coalesce(lag(v.ce) OVER w, 0))')} || {_TAG} || {_ESC.format('v.t')} || '</span>' AS piece FROM v JOIN {_FENCED_ROWS} f USING (id) WINDOW w AS (PARTITION BY v.id ORDER BY v.cs))
+  SELECT f.id AS text_id, coalesce(head, '') || {_ESC.format('substr(f.text, coalesce(j.ce, 0) + 1)')} AS html FROM {_FENCED_ROWS} f LEFT JOIN (SELECT id, string_agg(piece, '' ORDER BY cs) AS head, max(ce) AS ce FROM p GROUP BY id) j USING (id)"""
+ORACLES["manual_spans"] = f"SELECT prompt_id, cast(strlen(substr(text, 1, strpos(text, 'München') - 1)) AS BIGINT) AS span_start, cast(strlen(substr(text, 1, strpos(text, 'München') - 1)) + 8 AS BIGINT) AS span_end, 'LOCATION' AS entity_type FROM ({PROMPTS}) p WHERE strpos(text, 'München') > 0"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbraframe.functions import constants as C
 from umbraframe.functions import text as T
-from umbraframe.operators import anonymize, corpus, detect, ner, policy, score, vault
+from umbraframe.operators import anonymize, corpus, detect, host, ner, overlay, policy, score, vault
 from umbraframe.plans import inputs
 from umbraframe.sources.state import stored
 from umbraframe.streaming import flows
@@ -423,6 +423,35 @@ def anonymized_replies(spark, sf_dir):
     return df.select("conv_id", "turn", anonymize.may_have_placeholder(F.col("text")).alias("gate"), T.normal_key(F.substring("text", 1, 40)).alias("key"), T.truncated(T.escape_html(F.col("text")), 30).alias("shown"))
 
 
+_HOSTS = """
+SELECT c_custkey AS host_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE cast(c_custkey % 7 AS double) END AS gb, CASE c_custkey % 3 WHEN 0 THEN 'off' ELSE 'transformers' END AS provider,
+  CASE c_custkey % 5 WHEN 0 THEN 'enabled' WHEN 1 THEN 'off-low-memory-auto' WHEN 2 THEN 'off-user-choice' WHEN 3 THEN 'off-load-failure' ELSE 'enabled' END AS state,
+  CASE c_custkey % 4 WHEN 0 THEN 'unavailable' ELSE 'available' END AS gpu, CASE c_custkey % 2 WHEN 0 THEN 'pending' ELSE 'seen' END AS modal, c_custkey % 11 = 0 AS on_cpu FROM customer
+"""
+
+
+def host_rules(spark, sf_dir):
+    df = inputs.derived(spark, sf_dir, _HOSTS).withColumn("tier", host.memory_tier(F.col("gb")))
+    c = F.col
+    df = df.withColumn("s", host.resource_summary(c("provider"), c("state"), c("tier"), c("on_cpu")))
+    return df.select(
+        "host_id", "tier", host.recommendation(c("tier")).alias("recommendation"), host.may_warm_up(c("provider"), c("state"), c("tier"), c("gpu"), c("on_cpu")).alias("warm_up"),
+        host.chip_reason(c("state"), c("tier"), c("modal"), c("on_cpu")).alias("chip"), c("s.tone").alias("tone"), c("s.title").alias("title"),
+    )
+
+
+def highlighted_html(spark, sf_dir):
+    df = detect.detect(_fenced(spark, sf_dir))
+    spans = policy.tagged_in_code(F.col("spans"), policy.code_regions(F.col("text")))
+    df = df.select("text_id", "text", spans.alias("spans"))
+    return df.select("text_id", overlay.highlighted(F.col("text"), F.col("spans"), lambda s: policy.overlay_enabled(s, 0.5)).alias("html"))
+
+
+def manual_spans(spark, sf_dir):
+    df = inputs.prompts(spark, sf_dir).select("prompt_id", overlay.manual_span(F.col("text"), F.lit("München"), F.lit("LOCATION")).alias("m")).where("m is not null")
+    return df.select("prompt_id", F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"), "m.entity_type")
+
+
 QUERIES = {f"detect_{k.lower()}": _recogniser(k) for k in ("EMAIL", "PHONE", "SSN", "CREDIT_CARD", "IP_ADDRESS", "IBAN", "DATE")}
 QUERIES |= {"luhn_cards": _checked("CREDIT_CARD"), "iban_valid": _checked("IBAN"), "ssn_valid": _checked("SSN")}
 QUERIES |= {
@@ -433,6 +462,6 @@ QUERIES |= {
         allowlist, blocklist, code_regions, review_spans, list_conflicts, entity_map, anonymize_map, vault_records, synthetic_values, anonymize_vault, vault_import,
         vault_recency, preview_numbers, augment_map, restore_canonical, restore_variants, resolve_text, restore_vault, round_trip, score_candidates, score_matches,
         score_headline, score_by_type, score_by_lang, score_misc, score_negative, score_samples, length_bucket, corpus_summary, coverage_sample, latency_percentiles,
-        activity_sessions, dedupe_window, feedback_last_n, cancelled_results, text_offsets, anonymized_replies,
+        activity_sessions, dedupe_window, feedback_last_n, cancelled_results, text_offsets, anonymized_replies, host_rules, highlighted_html, manual_spans,
     )
 }
