@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from umbraframe.sources.state import shared_dir, stored
+from umbraframe.sources.state import importable, shared_dir, stored
 
 #: Materialises a frame in the shared folder and cuts its lineage; lost executors don't matter afterwards.
 cut = stored
@@ -34,6 +34,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with bounded batches."""
     bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
