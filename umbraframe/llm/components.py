@@ -18,16 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     `edges` has long columns a and b. In each round every node links its larger neighbours, and then its smaller
     ones, to the smallest node it knows (the large-star and small-star steps), so depth falls fast whatever the
     shape. All steps are joins and minima over the edge table: no group is gathered anywhere, minima are combined
-    before they are shuffled, and adaptive execution splits the join on a hub. Each round is a checkpoint.
+    before they are shuffled, and both sides of a join are stored first, so that adaptive execution can split the rows of
+    a hub. Each step is a checkpoint.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = cut(now)
     seen = _signature(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        roots = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large.distinct())
+        roots = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(roots, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = cut(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct())
         before, seen = seen, _signature(now)
