@@ -8,7 +8,7 @@ from umbraframe.plans import queries as Q
 from umbraframe.plans.duck import MENTIONS, PROMPT_ROWS, TEXT_ROWS
 from umbraframe.plans.inputs import EXAMPLES, FEEDBACK, FOUND, GOLD, PROMPTS
 
-_SPAN = "s AS span_start, e AS span_end, entity_type, round(score, 6) AS score, t AS span_text"
+_SPAN = "s AS span_start, e AS span_end, entity_type, round(cast(score AS DOUBLE), 6) AS score, t AS span_text"
 DOCUMENT_ROWS = "(SELECT doc_id AS id, text FROM documents)"
 
 
@@ -50,7 +50,7 @@ ORACLES["ner_overlap_merge"] = f"""SELECT order_id, k.s AS span_start, k.e AS sp
   CASE WHEN {_LAST}.s < x[1].e AND x[1].s < {_LAST}.e THEN CASE WHEN x[1].score > {_LAST}.score OR (x[1].score = {_LAST}.score AND (x[1].e - x[1].s > {_LAST}.e - {_LAST}.s OR (x[1].e - x[1].s = {_LAST}.e - {_LAST}.s AND x[1].s < {_LAST}.s)))
     THEN list_concat(acc[1:len(acc) - 1], x) ELSE acc END ELSE list_concat(acc, x) END)) AS k FROM (
   SELECT order_id, entity_type, list([struct_pack(s := cast(s AS BIGINT), e := cast(e AS BIGINT), score := cast(sc AS DOUBLE))] ORDER BY s, e, sc) AS l FROM {_NAMED} r GROUP BY order_id, entity_type) g) u"""
-ORACLES["ner_stitch"] = f"""SELECT prompt_id, cast(18 AS BIGINT) AS span_start, cast(18 + length(name) AS BIGINT) AS span_end, 'PERSON' AS entity_type, CASE name WHEN 'Ada Lovelace' THEN 0.9 ELSE 0.8 END AS score, name AS span_text, 'ner' AS source
+ORACLES["ner_stitch"] = f"""SELECT prompt_id, cast(18 AS BIGINT) AS span_start, cast(18 + length(name) AS BIGINT) AS span_end, 'PERSON' AS entity_type, cast(CASE name WHEN 'Ada Lovelace' THEN 0.9 ELSE 0.8 END AS DOUBLE) AS score, name AS span_text, 'ner' AS source
   FROM (SELECT prompt_id, CASE prompt_id % 3 WHEN 0 THEN 'Ada Lovelace' WHEN 1 THEN 'David Smith' END AS name FROM ({PROMPTS}) p) q WHERE name IS NOT NULL"""
 ORACLES["ner_chunks"] = r"""WITH RECURSIVE c AS (
   SELECT doc_id, text, length(text) AS n, 0 AS chunk, 0 AS a, CASE WHEN length(text) <= 5000 THEN length(text) ELSE coalesce(nullif(5000 - length(regexp_extract(substr(text, 3001, 2000), '[^\s]*$')), 3000), 5000) END AS b FROM documents WHERE text <> ''
