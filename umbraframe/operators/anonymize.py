@@ -62,12 +62,20 @@ def _variant_regex(key: Column) -> Column:
     return F.concat(F.lit(left), kind, F.lit("[_ ]?"), index.cast("string"), F.lit(right))
 
 
+def candidate_keys(text: Column) -> Column:
+    """Canonical keys that the text may hold in any form: what looks like a type and a number, as it would be written."""
+    loose = F.regexp_extract_all(text, F.lit(r"(?i)[A-Z][A-Z_]*[_ ]?\d+"), F.lit(0))
+    key = lambda m: F.concat(F.lit("["), F.upper(F.regexp_replace(m, r"[_ ]?\d+$", "")), F.lit("_"), F.regexp_extract(m, r"\d+$", 0), F.lit("]"))
+    return F.array_union(F.transform(loose, key), F.regexp_extract_all(text, F.lit(r"\[([A-Z_]+)_(\d+)\]"), F.lit(0)))
+
+
 def variant_matches(text: Column, keys: Column) -> Column:
-    """Non-overlapping matches (start, end, text, key) of known placeholders, larger numbers and longer keys first."""
-    low = F.lower(text)
-    near = F.filter(keys, lambda k: F.coalesce(T.parsed_placeholder(k)[1].isNotNull() & low.contains(F.lower(T.parsed_placeholder(k)[0])) & text.contains(T.parsed_placeholder(k)[1].cast("string")), F.lit(False)))
+    """Non-overlapping matches (start, end, text, key) of known placeholders, larger numbers and longer keys first. Only
+    keys that the text may hold are searched for, so the cost doesn't grow with the number of known ones."""
+    near = F.array_intersect(candidate_keys(text), keys)
     ranked = F.sort_array(F.transform(near, lambda k, i: F.struct((-T.parsed_placeholder(k)[1]).alias("n"), (-F.length(k)).alias("size"), i.alias("i"), k.alias("key"))))
-    found = F.flatten(F.transform(ranked, lambda r: F.transform(T.located(text, _variant_regex(r["key"])), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), r["key"].alias("key")))))
+    usable = F.filter(ranked, lambda r: r["n"].isNotNull())
+    found = F.flatten(F.transform(usable, lambda r: F.transform(T.located(text, _variant_regex(r["key"])), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), r["key"].alias("key")))))
     return _apart(found)
 
 
@@ -144,3 +152,12 @@ def has_reversible(text: Column, originals: Column) -> Column:
 def map_of(rows: DataFrame, id_col: str, key: str = "key", original: str = "original") -> DataFrame:
     """(id, originals): a conversation's keys as a map; its size is that of one conversation's entities."""
     return rows.dropDuplicates([id_col, key]).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(key, original))).alias("originals"))
+
+
+def with_needed(df: DataFrame, id_col: str, group_col: str, text: Column, rows: DataFrame) -> DataFrame:
+    """df with originals: a map of those rows (group, key, original) that the text may need. A long conversation's whole
+    map never travels with each of its texts."""
+    need = df.select(id_col, group_col, F.explode(candidate_keys(text)).alias("key"))
+    found = need.join(rows.select(group_col, "key", "original").dropDuplicates([group_col, "key"]), [group_col, "key"])
+    maps = found.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("key", "original"))).alias("originals"))
+    return df.join(maps, id_col, "left").withColumn("originals", F.coalesce("originals", F.expr("cast(map() as map<string,string>)")))

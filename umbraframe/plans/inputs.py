@@ -62,11 +62,13 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, PROMPTS)
+    """Prompts come from a table of short rows: a few megabytes that all cores should share before detection."""
+    return derived(spark, sf_dir, PROMPTS).repartition(spark.sparkContext.defaultParallelism)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, TEXTS)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as text_id", "text")
+    return documents.unionByName(prompts(spark, sf_dir).selectExpr("-1 - prompt_id as text_id", "text"))
 
 
 def spans_of(df: DataFrame) -> DataFrame:

@@ -263,18 +263,22 @@ def augment_map(spark, sf_dir):
     return vault.augmented(known, records)
 
 
+def _restorable(spark, sf_dir) -> DataFrame:
+    """Anonymised prompts with the part of their conversation's map that they need."""
+    mentions = _mentions(spark, sf_dir)
+    rows = vault.entity_map(mentions).withColumnRenamed("placeholder", "key")
+    return anonymize.with_needed(_anonymized(spark, sf_dir, mentions), "prompt_id", "conv_id", F.col("anonymized"), rows)
+
+
 def restore_canonical(spark, sf_dir):
     """Anonymised prompts back to what they were, by each conversation's map."""
-    mentions = _mentions(spark, sf_dir)
-    maps = anonymize.map_of(vault.entity_map(mentions), "conv_id", "placeholder")
-    df = _anonymized(spark, sf_dir, mentions).join(maps, "conv_id", "left")
-    return df.select("prompt_id", anonymize.restored_canonical(F.col("anonymized"), F.coalesce("originals", F.expr("map()"))).alias("restored"))
+    return _restorable(spark, sf_dir).select("prompt_id", anonymize.restored_canonical(F.col("anonymized"), F.col("originals")).alias("restored"))
 
 
 def _replies(spark, sf_dir) -> DataFrame:
     df = inputs.prompts(spark, sf_dir).select("conv_id").distinct()
-    maps = anonymize.map_of(vault.entity_map(_mentions(spark, sf_dir)), "conv_id", "placeholder")
-    return df.join(maps, "conv_id")
+    rows = vault.entity_map(_mentions(spark, sf_dir)).withColumnRenamed("placeholder", "key").withColumn("group", F.col("conv_id"))
+    return anonymize.with_needed(df.withColumn("group", F.col("conv_id")), "conv_id", "group", F.lit(REPLY), rows.drop("conv_id"))
 
 
 REPLY = "Dear person_1 and PERSON 2: [email_1], [PERSON_1, PERSON_2] or PERSON1; not GMAILEMAIL_1, PERSON_1A, [PERSON_99] nor PERSON_01. IBAN1 ok"
@@ -303,10 +307,8 @@ def restore_vault(spark, sf_dir):
 
 def round_trip(spark, sf_dir):
     """All three steps on every prompt: detect, anonymise, restore in any form."""
-    mentions = _mentions(spark, sf_dir)
-    maps = anonymize.map_of(vault.entity_map(mentions), "conv_id", "placeholder")
-    df = _anonymized(spark, sf_dir, mentions).join(maps, "conv_id", "left")
-    return df.select("prompt_id", anonymize.restored(F.col("anonymized"), F.coalesce("originals", F.expr("map()"))).alias("restored"), anonymize.has_placeholder(F.col("anonymized")).alias("had_placeholder"))
+    df = _restorable(spark, sf_dir)
+    return df.select("prompt_id", anonymize.restored(F.col("anonymized"), F.col("originals")).alias("restored"), anonymize.has_placeholder(F.col("anonymized")).alias("had_placeholder"))
 
 
 def _scored(spark, sf_dir):
