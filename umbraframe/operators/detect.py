@@ -182,6 +182,12 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "spans", external:
     return df.withColumn(out, confident(merged(F.col(out)), config.min_confidence))
 
 
+def rows_of(df: DataFrame, spans: str | Column, *keep: str, name: str = "s") -> DataFrame:
+    """One row for each element of an array. The outer form keeps Spark from inferring a filter on the array: that filter
+    would be pushed below every step of detection, each time with the whole expression once more."""
+    return df.select(*keep, F.explode_outer(spans).alias(name)).where(F.col(name).isNotNull())
+
+
 def exploded(df: DataFrame, *keep: str, spans: str = "spans") -> DataFrame:
     """One row for each span."""
-    return df.select(*keep, F.explode(spans).alias("s")).select(*keep, "s.*")
+    return rows_of(df, spans, *keep).select(*keep, "s.*")

@@ -17,7 +17,7 @@ ALLOW, BLOCK = ["david smith", "user1*@example.com", "10.0.7.*"], [("berlin", "L
 
 def _flat(df: DataFrame, *keep: str, spans: str = "spans") -> DataFrame:
     """Spans as rows; scores rounded, as the engines print doubles differently."""
-    rows = df.select(*keep, F.explode(spans).alias("s"))
+    rows = detect.rows_of(df, spans, *keep)
     return rows.select(*keep, F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), "s.entity_type", F.round("s.score", 6).alias("score"), F.col("s.text").alias("span_text"), "s.source")
 
 
@@ -44,7 +44,7 @@ def context_boost(spark, sf_dir):
 
 def context_tokens(spark, sf_dir):
     df = inputs.texts(spark, sf_dir).withColumn("spans", detect.checked(detect.recognised(F.col("text"))))
-    rows = df.select("text_id", "text", F.explode("spans").alias("s"))
+    rows = detect.rows_of(df, "spans", "text_id", "text")
     words = lambda f: F.array_join(F.transform(f(F.col("text"), F.col("s"), 6), lambda w: F.lower(w)), " ")  # noqa: E731, nearest first
     return rows.select("text_id", F.col("s.start").alias("span_start"), F.col("s.entity_type").alias("entity_type"), words(detect.words_before).alias("before"), words(detect.words_after).alias("after"))
 
@@ -83,7 +83,7 @@ def _with_ner(spark, sf_dir) -> DataFrame:
 
 
 def _mentions(spark, sf_dir) -> DataFrame:
-    rows = _with_ner(spark, sf_dir).select("conv_id", "prompt_id", F.explode("spans").alias("s")).select("conv_id", "prompt_id", "s.*")
+    rows = detect.exploded(_with_ner(spark, sf_dir), "conv_id", "prompt_id")
     return stored(rows.withColumn("seq", F.col("prompt_id") * 1_000_000 + F.col("start")))
 
 
@@ -189,14 +189,14 @@ SELECT c_custkey AS text_id, CASE c_custkey % 4
 
 
 def code_regions(spark, sf_dir):
-    df = _fenced(spark, sf_dir).select("text_id", F.explode(policy.code_regions(F.col("text"))).alias("r"))
+    df = detect.rows_of(_fenced(spark, sf_dir), policy.code_regions(F.col("text")), "text_id", name="r")
     return df.select("text_id", F.col("r.start").alias("region_start"), F.col("r.end").alias("region_end"))
 
 
 def review_spans(spark, sf_dir):
     df = detect.detect(_fenced(spark, sf_dir))
     spans = policy.review(F.col("text"), F.col("spans"), 0.5, allow=["y@z.org"], block=[("see", "any")])
-    rows = df.select("text_id", F.explode(spans).alias("s"))
+    rows = detect.rows_of(df, spans, "text_id")
     return rows.select("text_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), "s.entity_type", F.round("s.score", 6).alias("score"), "s.source", "s.in_code")
 
 
