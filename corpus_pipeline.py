@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraframe.llm import bpe, neardedup, secrets, toxicity, wumanber
+from umbraframe.llm import bpe, secrets, similar, toxicity, wumanber
 from umbraframe.llm.common import load, shared_dir
 
 
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints."""
-    return neardedup.keep_one_each(docs)
+    """The document with the smallest id of each group of similar documents (five-word shingles, similarity 0.8)."""
+    return similar.keep_one_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
