@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -52,7 +53,14 @@ def tokens(text: str) -> list[str]:
 
 
 def bare(word: str) -> str:
-    return word.strip(_SIGNS)
+    """The word without the signs (punctuation and symbols) at its edges."""
+    word = word.strip(_SIGNS)
+    start, end = 0, len(word)
+    while start < end and unicodedata.category(word[start])[0] in "PS":
+        start += 1
+    while end > start and unicodedata.category(word[end - 1])[0] in "PS":
+        end -= 1
+    return word[start:end]
 
 
 def edits_allowed(entry: str) -> int:
@@ -262,11 +270,12 @@ def _stands_out(t: int, c: int, toxic: int, clean: int) -> float:
 
 def choose_entries(terms: list[tuple[str, float, int]]) -> list[str]:
     """Terms (with the logarithms of their lifts, and the numbers of toxic documents they explain) without those that
-    another one explains: an ending of an accepted stem, or a beginning whose documents accepted longer entries mostly have."""
+    another one explains: a longer beginning than an accepted stem, or a beginning whose documents accepted longer entries
+    mostly have. Whole words stay beside their stem, as the stem takes no edits."""
     chosen: dict[str, int] = {}
     for term, _, t in sorted(terms, key=lambda x: (-x[1] * x[2], -len(x[0].rstrip("*")), x[0].endswith("*"), x[0])):
         plain = term.rstrip("*")
-        if any(plain.startswith(e[:-1]) for e in chosen if e.endswith("*")):
+        if term.endswith("*") and any(plain.startswith(e[:-1]) for e in chosen if e.endswith("*")):
             continue
         if term.endswith("*") and sum(n for e, n in chosen.items() if e.rstrip("*").startswith(plain)) >= 0.7 * t:
             continue
