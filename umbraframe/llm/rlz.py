@@ -7,7 +7,7 @@ duplicate that begins inside one factor and ends in the next is found too. Words
 The reference is indexed in blocks that many machines hold. A window's anchor is the smallest hash among its
 GRAM-word sequences: equal windows have equal anchors, so one shuffle by anchor brings all places of a window to one
 block, and about one row in eight words is enough, as consecutive windows mostly share their anchor. A row carries
-40-bit hashes of its windows beside the 64-bit anchor. A block is a sorted stream: windows of an anchor seen
+the whole 64-bit hashes of its windows beside the 64-bit anchor. A block is a sorted stream: windows of an anchor seen
 before are duplicates, so that neither a document nor a group of copies is ever held as a whole.
 
 Windows that repeat within an Arrow batch are settled before the shuffle: a passage that a third of all documents share
@@ -29,7 +29,7 @@ from umbraframe.llm.common import map_batches, partitions_for, record_batch, tex
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1  # sequences in a window; at most as many windows share an anchor's place
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_HASH = 5  # bytes of a window's hash beside its anchor
+_HASH = 8  # bytes of a window's hash beside its anchor
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,11 +83,13 @@ def _windows(docs: np.ndarray, texts: list[str]) -> dict[str, np.ndarray] | None
     return {"doc": np.repeat(docs[has], lengths), "start": at - np.repeat(begins, lengths), "hash": whole, "anchor": low, "place": at + place}
 
 
-def _repeats(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows have an equal one that starts earlier; rows are in order of document and start."""
-    order = np.argsort(key, kind="stable")
+def _repeats(key: np.ndarray, doc: np.ndarray, start: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Which windows have an equal one (of their group) that starts earlier; rows are in order of document and start."""
+    order = np.argsort(key, kind="stable") if group is None else np.lexsort((key, group))
     k = key[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
+    if group is not None:
+        new[1:] |= group[order][1:] != group[order][:-1]
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.zeros(len(key), bool)
     out[order] = (doc[order] != doc[first]) | (start[order] != start[first])
@@ -110,10 +112,10 @@ def _emit(batches):
         heads = np.flatnonzero(head)
         bit = np.int64(1) << (np.arange(len(head)) - heads[np.cumsum(head) - 1])
         sent, done = np.add.reduceat(np.where(known, 0, bit), heads), np.add.reduceat(np.where(known, bit, 0), heads)
-        raw = (w["hash"][~known] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH]
+        raw = w["hash"][~known].astype("<u8")
         n = np.add.reduceat((~known).astype(np.int64), heads)
         ends = np.concatenate([[0], np.cumsum(n * _HASH)]).astype("<i4")
-        data = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
         # A row without hashes only carries marks on; it goes anywhere, so that settled copies don't pile up.
         anchor = np.where(sent > 0, w["anchor"][heads], _mixed(w["doc"][heads].astype(np.uint64) * _BASE + w["start"][heads].astype(np.uint64)))
         yield record_batch({"anchor": pa.array(anchor.view(np.int64)), "doc": pa.array(w["doc"][heads]), "place": pa.array(w["start"][heads] << 32 | sent << 16 | done), "hashes": data})
@@ -126,7 +128,7 @@ def _bits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle(batches):
     """Rows come sorted by anchor, document and start; gives doc and start << 16 | mask of duplicate windows."""
-    held_anchor, held = None, np.zeros(0, np.int64)  # the last anchor so far and the windows seen under it
+    held_anchor, held = None, np.zeros(0, np.uint64)  # the last anchor so far and the windows seen under it
     held_doc = held_start = np.zeros(0, np.int64)
     for batch in batches:
         anchor, doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc", "place"))
@@ -145,20 +147,18 @@ def _settle(batches):
         some = ~alone[row]
         row, bit, data = row[some], bit[some], data[some]
         if len(row):
-            wide = np.zeros((len(data), 8), np.uint8)
-            wide[:, :_HASH] = data
-            value = wide.view("<u8").reshape(-1).astype(np.int64)
-            key, d, s = group[row].astype(np.int64) << 40 | value, doc[row], start[row] + bit
+            key, of, d, s = np.ascontiguousarray(data).view("<u8").reshape(-1), group[row], doc[row], start[row] + bit
             if anchor[0] == held_anchor:  # what was seen before this batch comes first
                 key, d, s = np.concatenate([held, key]), np.concatenate([held_doc, d]), np.concatenate([held_start, s])
-            found = _repeats(key, d, s)
-            last = key >> 40 == group[-1]
+                of = np.concatenate([np.zeros(len(held), of.dtype), of])
+            found = _repeats(key, d, s, of)
+            last = of == group[-1]
             own = found[len(found) - len(row) :]
             np.bitwise_or.at(done, row[own], np.int64(1) << bit[own])
-            keep, at = np.unique(key[last] & ((1 << 40) - 1), return_index=True)
+            keep, at = np.unique(key[last], return_index=True)
             held, held_doc, held_start = keep, d[last][at], s[last][at]
         elif anchor[-1] != held_anchor:
-            held, held_doc, held_start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            held, held_doc, held_start = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         held_anchor = anchor[-1]
         hit = np.flatnonzero(done)
         if len(hit):
