@@ -258,7 +258,7 @@ def augment_map(spark, sf_dir):
     mentions = _mentions(spark, sf_dir)
     records = stored(vault.vault(mentions))
     key = T.normal_key(F.col("text"))
-    used = mentions.where("conv_id < 10").withColumn("normalized_key", key).join(records, ["entity_type", "normalized_key"])
+    used = mentions.withColumn("normalized_key", key).join(records, ["entity_type", "normalized_key"])
     known = used.select("conv_id", F.when(F.col("conv_id") % 2 == 0, F.col("placeholder")).otherwise(F.when(F.col("synthetic_value") != "", F.col("synthetic_value")).otherwise(F.col("placeholder"))).alias("key"), F.col("original_text").alias("original")).distinct()
     return vault.augmented(known, records)
 
