@@ -7,3 +7,9 @@ def test_every_conversation_is_augmented(spark):
     convs = lambda df: {r.conv_id for r in df.select("conv_id").distinct().collect()}
     got = convs(Q.augment_map(spark, SF))
     assert got == convs(Q._mentions(spark, SF)) and max(got) >= 10
+
+
+def test_all_records_by_recency(spark):
+    got = Q.vault_recency(spark, SF).collect()
+    assert len(got) == Q.vault_records(spark, SF).count() > 25
+    assert got == sorted(got, key=lambda r: (-r.last_seq, r.placeholder))

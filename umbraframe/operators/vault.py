@@ -123,9 +123,10 @@ def counters(records: DataFrame) -> DataFrame:
     return records.groupBy("entity_type").agg(F.max(T.parsed_placeholder(F.col("placeholder"))[1]).alias("used"))
 
 
-def by_recency(records: DataFrame, most: int) -> DataFrame:
-    """The most recently seen records: a top-k, merged from each task's own."""
-    return records.orderBy(F.desc("last_seq"), "placeholder").limit(most)
+def by_recency(records: DataFrame, most: int | None = None) -> DataFrame:
+    """All records, or the `most` first ones, by when they were last seen."""
+    ordered = records.orderBy(F.desc("last_seq"), "placeholder")
+    return ordered if most is None else ordered.limit(most)
 
 
 def without_unpinned(records: DataFrame) -> DataFrame:

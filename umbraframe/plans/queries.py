@@ -245,7 +245,7 @@ def vault_import(spark, sf_dir):
 
 
 def vault_recency(spark, sf_dir):
-    return vault.by_recency(vault.vault(_mentions(spark, sf_dir)), 25).select("placeholder", "last_seq", "usage_count")
+    return vault.by_recency(vault.vault(_mentions(spark, sf_dir))).select("placeholder", "last_seq", "usage_count")
 
 
 def preview_numbers(spark, sf_dir):
