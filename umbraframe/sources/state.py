@@ -18,9 +18,12 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir. Where it is unset, as in tests, a temporary folder, but only on one machine: a cluster's machines
+    don't share such a folder, so there it is an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="umbraframe-")
     if not context.getCheckpointDir():
@@ -32,3 +35,11 @@ def stored(df: DataFrame) -> DataFrame:
     """A frame that is used several times, computed once and kept where lost executors don't matter."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_round(df: DataFrame) -> DataFrame:
+    """`stored` for a frame that the next round of a loop joins again. A checkpointed frame keeps the estimated size of the
+    plan it came from, and a join's estimate is the product of its sides': after some rounds the numbers alone, with millions
+    of digits, would fill the driver. So the rows become a frame without an estimate."""
+    spark, rows = df.sparkSession, stored(df)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows._jdf.queryExecution().toRdd(), rows._jdf.schema(), False), spark)
