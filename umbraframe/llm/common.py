@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from umbraframe.sources.state import importable, shared_dir, stored
+from umbraframe.sources.state import importable, shared_dir, stored, stored_round
 
 #: Materialises a frame in the shared folder and cuts its lineage; lost executors don't matter afterwards.
 cut = stored
+#: The same for what the next round of a loop joins again.
+cut_round = stored_round
 
-__all__ = ["cut", "held", "load", "map_batches", "partitions_for", "record_batch", "shared_dir", "texts_of"]
+__all__ = ["cut", "cut_round", "held", "load", "map_batches", "partitions_for", "record_batch", "shared_dir", "texts_of", "unused"]
 
 #: Rows and bytes that one Arrow batch holds at most; a batch is what a Python worker has in memory.
 BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
@@ -64,5 +66,13 @@ def record_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, or a longer one that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import cut
+from umbraframe.llm.common import cut, cut_round
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or only larger ones: then each links to its root. Nodes are counted
+    where they lie before any are shuffled."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,23 +20,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     `edges` has long columns a and b. In each round every node links its larger neighbours, and then its smaller
     ones, to the smallest node it knows (the large-star and small-star steps), so depth falls fast whatever the
-    shape. All steps are joins and minima over the edge table: no group is gathered anywhere, minima are combined
-    before they are shuffled, and both sides of a join are stored first, so that adaptive execution can split the rows of
-    a hub. Each step is a checkpoint.
+    shape; the rounds end when only stars are left, which the edges themselves show. All steps are joins and minima over the
+    edge table: no group is gathered anywhere, minima are combined before they are shuffled, and both sides of a join are
+    stored first, so that adaptive execution can split the rows of a hub. Each step is a checkpoint.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = cut(now)
-    seen = _signature(now)
-    while seen[0]:
+    now = cut_round(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _all_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = cut(large.distinct())
         roots = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(roots, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = cut(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct())
-        before, seen = seen, _signature(now)
-        if seen == before:
-            break
+        now = cut_round(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct())
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())

@@ -8,9 +8,10 @@ codeword. If two fingerprints differ in two bits at most, then by the pigeonhole
 and the segment after it differs in two bits at most: its lists meet. A key is therefore an exact segment with one
 codeword of the next segment's list, about 16 keys for each fingerprint.
 
-Only different fingerprints get keys. Buckets of up to BUCKET fingerprints are verified pair by pair. Fingerprints in
-larger buckets are linked in another exact way whose cost is linear: two of them differ in two bits at most if and only
-if some word is within one bit of both, so grouping by those 65 words gives groups of 65 members at most.
+Only different fingerprints get keys. The pairs of a bucket are verified. A hot key, one that over BUCKET fingerprints have,
+is split: it is lengthened by each word that gave its codeword, i.e. by the fingerprint with at most one bit of the other
+two segments turned. Fingerprints that differ in two bits at most have such a word in common under a key of both, and all that
+share one lie within two bits, so the parts of a hot key hold 65 fingerprints at most and give the same links.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import cut, map_batches, record_batch, texts_of
+from umbraframe.llm.common import cut, map_batches, record_batch, texts_of, unused
 from umbraframe.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints of a bucket up to which all its pairs are verified; larger buckets take the linear way.
+#: Fingerprints of a key beyond which it is split.
 BUCKET = 128
 #: (first bit, bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -86,28 +87,46 @@ def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(out)
 
 
-def fingerprint(text: str | None) -> int:
-    """64 bits; a bit is 1 if it is set in over half of the shingles' hashes. A text without words has 0."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the lower-cased text's shingles, repeats included; a text of fewer words is one shingle, one without
+    words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]  # noqa: B905
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) >= size else [b" ".join(words)]  # noqa: B905
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits; a bit is 1 if it is set in over half of the hashes. Without hashes all are 0."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    return majority(shingle_hashes(text))
+
+
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed long. Null and empty texts have 0."""
+    """(id, mark, fp): the fingerprint as a signed long, and a hash of the text that tells rows of one id apart. Null and
+    empty texts have the fingerprint 0."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield record_batch({"id": batch.column("id"), "fp": pa.array(fps)})
+            yield record_batch({"id": batch.column("id"), "mark": batch.column("mark"), "fp": pa.array(fps)})
+
+    return map_batches(marked(documents, id_col, text_col), run, "id bigint, mark bigint, fp bigint")
+
+
+def mark(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
-    return map_batches(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, "id bigint, fp bigint")
+
+def marked(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents.select(F.col(id_col).cast("bigint").alias("id"), mark(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
 def _keyed(batches):
@@ -141,6 +160,28 @@ def _verified(batches):
         yield record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _lengthened(batches):
+    """Rows (key, fp) of hot keys, each once for every word that gives the key's codeword: the fingerprint itself or with
+    one bit of segment j turned, and where it gives the codeword itself, with one bit of segment k turned."""
+    for batch in batches:
+        key, fp = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fp"))
+        words = fp.view(np.uint64)
+        for i in range(3):
+            (j_at, j_bits), (k_at, k_bits) = SEGMENTS[(i + 1) % 3], SEGMENTS[(i + 2) % 3]
+            rows = np.flatnonzero(key >> 34 == i)
+            if not len(rows):
+                continue
+            own = ((words[rows] >> np.uint64(j_at)) & np.uint64((1 << j_bits) - 1)).astype(np.int64)
+            turns = np.array([0, *(1 << b for b in range(j_bits))], np.int64)
+            gives = codeword(own[:, None] ^ turns) == (key[rows] & 0xFFF)[:, None]
+            turned = np.concatenate([turns.astype(np.uint64) << np.uint64(j_at), np.uint64(1) << np.arange(k_at, k_at + k_bits, dtype=np.uint64)])
+            row, turn = np.nonzero(np.concatenate([gives, np.repeat(gives[:, :1], k_bits, axis=1)], axis=1))
+            word = (words[rows[row]] ^ turned[turn]).view(np.int64)
+            for k in range(0, len(row), 100_000):
+                some = rows[row[k : k + 100_000]]
+                yield record_batch({"key": pa.array(key[some]), "word": pa.array(word[k : k + 100_000]), "fp": pa.array(fp[some])})
+
+
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between different fingerprints whose components are those of all links of RADIUS bits or less."""
     keyed = map_batches(distinct.select("fp"), _keyed, "key bigint, fp bigint")
@@ -148,28 +189,27 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     shared = keyed.join(sizes, "key")
     buckets = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     close = map_batches(buckets.select("fps"), _verified, "a bigint, b bigint")
-    hot = shared.where(F.col("n") > bucket).select("fp").distinct()
-    balls = hot.select("fp", F.explode(F.expr("transform(sequence(-1, 63), b -> if(b < 0, fp, fp ^ shiftleft(1L, b)))")).alias("word"))
-    met = balls.groupBy("word").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    chained = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return close.unionByName(chained).distinct()
+    split = map_batches(shared.where(F.col("n") > bucket).select("key", "fp"), _lengthened, "key bigint, word bigint, fp bigint")
+    parts = split.groupBy("key", "word").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
+    met = parts.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    return close.unionByName(met).distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (signed long) and component_id: the smallest id reachable over fingerprints within RADIUS bits.
+    """id, mark (a hash of the text), fp (signed long) and component_id: the smallest id reachable over fingerprints within
+    RADIUS bits.
 
-    Equal fingerprints are linked; so are all null, empty and blank texts (fingerprint 0). Rows of one id that
-    have different texts are rows of their own: each gets the component of its own fingerprint. Other columns are
-    ignored. An empty table gives no rows. Rows without an id have no result.
+    Equal fingerprints are linked; so are all null, empty and blank texts (fingerprint 0). Rows of one id that have
+    different texts are rows of their own: links are between fingerprints, so each gets the component of its own one.
+    Repeated rows give repeated results. Other columns are ignored. An empty table gives no rows. Rows without an
+    id have no result.
     """
-    documents = documents.where(F.col(id_col).isNotNull())
-    fps = cut(fingerprints(documents, id_col, text_col))
-    reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    edges = links(reps)
-    left, right = reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-    roots = components(edges.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    fps = cut(fingerprints(documents.where(F.col(id_col).isNotNull()), id_col, text_col))
+    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")))
+    roots = components(links(classes))
+    rooted = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "mark", "fp", "component_id")
 
 
 def near_duplicate_report(documents: DataFrame) -> DataFrame:
@@ -177,13 +217,24 @@ def near_duplicate_report(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest id, with all its columns; of rows that share this id the
-    first in no particular order. Rows without an id stay, as they can't be told apart."""
-    own = near_duplicates(documents, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    kept = cut(own.groupBy(F.col(id_col).alias("_nd_id")).agg(F.count(F.lit(1)).alias("_nd_rows")))
-    named = lambda ids: documents.join(ids, F.col(id_col) == F.col("_nd_id"), "left_semi")
-    out, several = named(kept.where("_nd_rows = 1")), kept.where("_nd_rows > 1")
+def first_of_each(documents: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each component of members (id, mark, component_id), with all its columns: the one with the smallest id,
+    of rows that share this id the one with the smallest mark, and of rows that share the text too the one whose columns
+    come first as JSON. Rows without an id stay, as they can't be told apart."""
+    rows = members.groupBy("component_id", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = cut(rows.groupBy("component_id").agg(F.min(F.struct("id", "mark", "n")).alias("x")).select("x.*"))
+    named = [unused(c, documents) for c in ("id", "mark", "n")]
+    first = first.toDF(*named)
+    own = (F.col(id_col).cast("bigint") == F.col(named[0])) & (mark(text_col) == F.col(named[1]))
+    out, several = documents.join(first.where(F.col(named[2]) == 1), own, "left_semi"), first.where(F.col(named[2]) > 1)
     if not several.isEmpty():
-        out = out.unionByName(named(several).dropDuplicates([id_col]))
+        same = documents.join(several, own, "left_semi")
+        whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+        kept = same.groupBy(F.col(id_col).alias(named[0]), mark(text_col).alias(named[1])).agg(F.min_by(whole, F.to_json(whole)).alias(named[2]))
+        out = out.unionByName(kept.select(f"{named[2]}.*"))
     return out.unionByName(documents.where(F.col(id_col).isNull()))
+
+
+def keep_one_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of `near_duplicates`, as `first_of_each` chooses it."""
+    return first_of_each(documents, near_duplicates(documents, id_col, text_col).withColumnRenamed(id_col, "id"), id_col, text_col)

@@ -111,8 +111,8 @@ def _across(batches):
 def fingerprints_in_order(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edited forms, with likenesses; the last document's next is the first.
 
-    A null text counts as empty; repeated ids are ordered by text; other columns are ignored; a single document is
-    its own next one; an empty table gives no rows. One range shuffle puts the texts in order; only the texts at
+    A null text counts as empty; rows without an id come first, repeated ids are ordered by text (null first); other columns
+    are ignored; a single document is its own next one; an empty table gives no rows. One range shuffle puts the texts in order; only the texts at
     the edges of partitions, two for each partition, move again.
     """
     df = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -172,13 +172,15 @@ def search(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS) ->
 
 
 def search_classes(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Search for every document whose id is divisible by 20 against all documents, between classes of equal
-    fingerprints: the smallest id among the class's queries, the smallest id of the matching class, its number of
-    documents, and the distance (0: the query's own class)."""
+    """Search for every document whose id is divisible by 20 against all documents: a row for each such document and each
+    class of equal fingerprints within the radius, by the smallest id and the number of documents of that class, and the
+    distance (0: the document's own class). Copies among the documents found are not expanded; a repeated query id comes once
+    for each of its fingerprints. Rows without an id are not asked for, but are found and counted."""
     fps = cut(fingerprint_table(documents))
     classes = fps.groupBy("high", "low").agg(F.min("id").alias("match_id"), F.count(F.lit(1)).alias("n_docs"))
-    asked = fps.where("id % 20 = 0").groupBy("high", "low").agg(F.min("id").alias("doc_id"))
+    asked = cut(fps.where("id % 20 = 0").select(F.col("id").alias("doc_id"), "high", "low").distinct())
     found = search(asked, classes, radius)
-    found = found.unionByName(asked.select("high", "low", F.col("high").alias("match_high"), F.col("low").alias("match_low"), F.lit(0).alias("distance")))
+    own = asked.select("high", "low").distinct()
+    found = found.unionByName(own.select("high", "low", F.col("high").alias("match_high"), F.col("low").alias("match_low"), F.lit(0).alias("distance")))
     named = classes.withColumnsRenamed({"high": "match_high", "low": "match_low"})
-    return found.join(asked, ["high", "low"]).join(named, ["match_high", "match_low"]).select("doc_id", "match_id", "n_docs", "distance")
+    return found.join(named, ["match_high", "match_low"]).join(asked, ["high", "low"]).select("doc_id", "match_id", "n_docs", "distance")

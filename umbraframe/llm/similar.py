@@ -1,9 +1,11 @@
-"""Near-dedup by similarity: documents of which four fifths of the five-word shingles are shared.
+"""Near-dedup by similarity: operator 2 for documents of which four fifths of the five-word shingles are shared.
 
 A document is the set of the 64-bit hashes of its lower-cased five-word shingles. Documents with equal sets are one class.
-Candidates share one of BANDS keys, each a hash of ROWS minhashes; a pair of similarity 0.8 shares none with a probability
-of (1 - 0.8 ** ROWS) ** BANDS, two in a million. Each candidate pair is then verified by the Jaccard similarity of the
-whole sets, and components of the verified pairs are the groups.
+Candidates come from two places. SimHash fingerprints of the shingles meet by their Golay-code keys, which finds all that
+differ in two bits at most. At similarity 0.8 fingerprints differ in about ten bits of 64, which no such key reaches; so
+candidates also share one of BANDS keys, each a hash of ROWS minhashes: a pair of similarity 0.8 shares none with a
+probability of (1 - 0.8 ** ROWS) ** BANDS, two in a million. Each candidate pair, whichever way it came, is verified by the
+Jaccard similarity of the whole sets, and components of the verified pairs are the groups.
 
 A bucket of up to BUCKET classes gives all its pairs. A larger one is settled in rounds: some members, dealt by hash and
 more of them each round, meet all others, and leave the bucket; the rest goes on while it lies in several components. So
@@ -12,16 +14,15 @@ a bucket of near copies costs a few rows for each member, and no pair that could
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import cut, map_batches, record_batch, texts_of
+from umbraframe.llm.common import cut, cut_round, map_batches, record_batch, texts_of
 from umbraframe.llm.components import components
+from umbraframe.llm.neardedup import first_of_each, links, majority, marked, shingle_hashes
 
 SHINGLE, SIMILAR = 5, (4, 5)  # similarity as a fraction, 0.8
 BANDS, ROWS = 25, 4
@@ -32,11 +33,7 @@ _A |= np.uint64(1)
 
 def shingles(text: str | None) -> np.ndarray:
     """The set as sorted hashes; a text of fewer words is one shingle, a text without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    parts = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]  # noqa: B905
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SHINGLE)), np.uint64))
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
 def digest(own: np.ndarray) -> int:
@@ -64,16 +61,15 @@ def _signed(batches):
     for batch in batches:
         sets = [shingles(t) for t in texts_of(batch)]
         yield record_batch({
-            "id": batch.column("id"), "fp": pa.array([digest(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
-            "keys": pa.array([keys(s) for s in sets], pa.list_(pa.int64())),
+            "id": batch.column("id"), "mark": batch.column("mark"), "fp": pa.array([digest(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
+            "simhash": pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), "keys": pa.array([keys(s) for s in sets], pa.list_(pa.int64())),
         })
 
 
 def _sets(batches):
-    """The sets of classes from the texts of their smallest ids; other rows of such an id are left out."""
+    """The sets of classes from the texts of one row each."""
     for batch in batches:
-        found = [(fp, s.tobytes()) for fp, s in zip(batch.column("fp").to_pylist(), map(shingles, texts_of(batch)), strict=True) if digest(s) == fp]
-        yield record_batch({"fp": pa.array([x for x, _ in found], pa.int64()), "own": pa.array([x for _, x in found], pa.binary())})
+        yield record_batch({"fp": batch.column("fp"), "own": pa.array([shingles(t).tobytes() for t in texts_of(batch)], pa.binary())})
 
 
 def _verified(batches):
@@ -89,56 +85,55 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.where((F.col("x") != F.col("y")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _roots(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """(fp, root) of the classes that have an edge; root is the smallest id of the component."""
-    left, right = classes.select(F.col("fp").alias("a"), F.col("rep").alias("x")), classes.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-    found = components(edges.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return classes.select("fp", "rep").join(found, F.col("rep") == F.col("node")).select("fp", "root")
+def _golay_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose SimHash fingerprints are linked by their Golay keys, or are equal; one class stands for
+    all of a fingerprint."""
+    stands = cut(classes.where("n > 0").groupBy("simhash").agg(F.min("fp").alias("fp")))
+    left, right = stands.toDF("a", "x"), stands.toDF("b", "y")
+    linked = links(stands.select(F.col("simhash").alias("fp"))).join(left, "a").join(right, "b").select("x", "y")
+    equal = classes.where("n > 0").join(stands.withColumnRenamed("fp", "x"), "simhash").select("x", F.col("fp").alias("y")).where("x <> y")
+    return linked.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """id and component_id: the smallest id reachable over documents that are similar. Texts without words are one
-    group; repeated rows give repeated results; rows without an id have no result."""
-    texts = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(map_batches(texts, _signed, "id bigint, fp bigint, n bigint, keys array<bigint>"))
-    classes = cut(signed.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    """id, mark (a hash of the text) and component_id: the smallest id reachable over documents that are similar. Texts
+    without words are one group; rows of one id that have different texts are rows of their own; repeated rows give repeated
+    results; rows without an id have no result."""
+    texts = marked(documents.where(F.col(id_col).isNotNull()), id_col, text_col)
+    signed = cut(map_batches(texts, _signed, "id bigint, mark bigint, fp bigint, n bigint, simhash bigint, keys array<bigint>"))
+    one = F.min_by(F.struct("mark", "n", "simhash", "keys"), F.struct("id", "mark"))
+    classes = cut(signed.groupBy("fp").agg(F.min("id").alias("rep"), one.alias("one")).select("fp", "rep", "one.*"))
     keyed = classes.select("fp", "n", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(keyed.join(counts, "key").select("key", "fp", "n", "size"))
-    named = classes.select("fp", "rep")
-    asked = named.join(members.select("fp").distinct(), "fp")
-    sets = cut(map_batches(texts.join(asked, F.col("id") == F.col("rep")).select("fp", "text"), _sets, "fp bigint, own binary"))
+    members = cut_round(keyed.join(counts, "key").select("key", "fp", "n", "size"))
+    golay = cut(_golay_pairs(classes))
+    asked = classes.select("fp", F.col("rep").alias("id"), "mark").join(members.select("fp").unionAll(golay.select("a")).unionAll(golay.select("b")).distinct(), "fp")
+    sets = cut(map_batches(texts.join(asked, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("fp", "text"), _sets, "fp bigint, own binary"))
     edges, roots, pivots = None, None, 8
     while True:
         small, large = members.where(F.col("size") <= bucket), members.where(F.col("size") > bucket)
         # Some members of each large bucket: the smallest of each share by hash, so that partial minima do the work.
         chosen = cut(large.groupBy("key", F.pmod(F.xxhash64("fp"), F.lit(pivots)).alias("share")).agg(F.min(F.struct("fp", "n")).alias("p")).select("key", "p.fp", "p.n"))
-        pairs = cut(_met(small, small).unionByName(_met(large, chosen)).distinct())
+        pairs = _met(small, small).unionByName(_met(large, chosen))
+        pairs = cut((pairs if edges is not None else pairs.unionByName(golay)).distinct())
         own, other = sets.select(F.col("fp").alias("a"), "own"), sets.select(F.col("fp").alias("b"), F.col("own").alias("other"))
-        half = cut(pairs.join(own, "a"))
-        found = map_batches(half.join(other, "b").select("a", "b", "own", "other"), _verified, "a bigint, b bigint").distinct()
-        edges = cut(found if edges is None else edges.unionByName(found).distinct())
-        roots = cut(_roots(edges, named))
+        found = map_batches(pairs.join(own, "a").join(other, "b").select("a", "b", "own", "other"), _verified, "a bigint, b bigint").distinct()
+        edges = cut_round(found if edges is None else edges.unionByName(found).distinct())
+        roots = cut(components(edges))
         if large.isEmpty():
             break
-        rest = large.join(chosen.select("key", "fp"), ["key", "fp"], "left_anti").join(roots, "fp", "left")
+        rest = large.join(chosen.select("key", "fp"), ["key", "fp"], "left_anti").join(roots, F.col("fp") == F.col("node"), "left")
         rest = cut(rest.select("key", "fp", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNull().alias("alone")))
         open_keys = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "root")).alias("low"), F.max(F.struct("alone", "root")).alias("high"))
-        members = cut(rest.join(open_keys.where("low <> high").select("key", "size"), "key").select("key", "fp", "n", "size"))
+        members = cut_round(rest.join(open_keys.where("low <> high").select("key", "size"), "key").select("key", "fp", "n", "size"))
         if members.isEmpty():
             break
         pivots *= 16
-    named = named.join(roots, "fp", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return signed.select("id", "fp").join(named, "fp").select(F.col("id").alias(id_col), "component_id")
+    rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return signed.select("id", "mark", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "mark", "component_id")
 
 
 def keep_one_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, the one with the smallest id, with all its columns; of rows that share this id the
-    first in no particular order. Rows without an id stay, as they can't be told apart."""
-    own = similar_groups(documents, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    kept = cut(own.groupBy(F.col(id_col).alias("_nd_id")).agg(F.count(F.lit(1)).alias("_nd_rows")))
-    named = lambda ids: documents.join(ids, F.col(id_col) == F.col("_nd_id"), "left_semi")
-    out, several = named(kept.where("_nd_rows = 1")), kept.where("_nd_rows > 1")
-    if not several.isEmpty():
-        out = out.unionByName(named(several).dropDuplicates([id_col]))
-    return out.unionByName(documents.where(F.col(id_col).isNull()))
+    """One row of each group, as `first_of_each` chooses it; rows without an id stay."""
+    return first_of_each(documents, similar_groups(documents, id_col, text_col).withColumnRenamed(id_col, "id"), id_col, text_col)

@@ -2,7 +2,7 @@
 
 Fitting: on a bounded sample of labelled training rows, words and word beginnings that stand out in toxic documents
 become the lexicon (whole words, and stems that take any ending). The lexicon is a trie; the automata that accept
-everything within an entry's number of edits are intersected with it, and the product is made deterministic as words
+everything within an entry's number of edits (of a stem's, within its letters) are intersected with it, and the product is made deterministic as words
 ask for it, so that reading a word costs one lookup for each letter and most words end after a few. Misspelt
 words that clean training documents use are exceptions.
 
@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import held, map_batches, record_batch, texts_of
+from umbraframe.llm.common import cut, held, map_batches, record_batch, texts_of
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
-#: Entries of the lexicon at most, toxic documents an entry needs, and its share in toxic documents against others.
-ENTRIES, SUPPORT, LIFT = 1_000, 4, 20.0
+#: Toxic documents that an entry needs, and its share in toxic documents against others.
+SUPPORT, LIFT = 4, 20.0
 #: Different pairs of neighbours that an entry needs for each toxic document it is in.
 VARIED = 0.4
 #: Lengths of word beginnings that can become stems.
@@ -41,7 +41,8 @@ STEMS = range(4, 9)
 THRESHOLD = 0.3
 #: Words before and after a hit that are its context.
 CONTEXT = 6
-CACHE_WORDS = 250_000
+#: What a worker holds at most: words seen, and states of the automaton; beyond that both are built anew.
+CACHE_WORDS, STATES = 250_000, 100_000
 _SIGNS = ".,!?;:\"'()[]{}<>«»“”„‘’…-–—*_"
 _OPEN, _CLOSE = re.compile(r"^[(\[]*[\"'«“„‘]"), re.compile(r"[\"'»”’][.,!?;:)\]]*$")
 #: Words of reporting in the four languages of the tables.
@@ -64,14 +65,16 @@ def bare(word: str) -> str:
 
 
 def edits_allowed(entry: str) -> int:
-    """Short words take no edit, longer ones one or two; stems take none."""
-    return 0 if entry.endswith("*") or len(entry) < 5 else 1 if len(entry) < 9 else 2
+    """Short words take no edit, longer ones one or two; a stem takes them within its own letters."""
+    size = len(entry.rstrip("*"))
+    return 0 if size < 5 else 1 if size < 9 else 2
 
 
 class Lexicon:
     """The deterministic product of the lexicon's trie and the Levenshtein automata of its entries.
 
-    A state is a set of (trie node, edits so far, letter still owed by a transposition); it is built once.
+    A state is a set of (trie node, edits so far, letter still owed by a transposition); it is built once. A stem that has
+    been read is (-1 - its number, edits), which any further letter leaves as it is.
     """
 
     NONE = 9  # edits of no match
@@ -81,6 +84,7 @@ class Lexicon:
         self.word: list[int] = [-1]  # edits that an entry ending here allows
         self.entry: list[int] = [-1]  # its number
         self.stem: list[int] = [-1]  # the number of a stem that ends here
+        self.stem_room: list[int] = [-1]  # edits that it allows
         self.room: list[int] = [0]  # most edits that any entry below allows
         for number, entry in enumerate(entries):
             node, room = 0, edits_allowed(entry)
@@ -92,13 +96,17 @@ class Lexicon:
                     self.word.append(-1)
                     self.entry.append(-1)
                     self.stem.append(-1)
+                    self.stem_room.append(-1)
                     self.room.append(0)
                 node = self.children[node][c]
                 self.room[node] = max(self.room[node], room)
             if entry.endswith("*"):
-                self.stem[node] = number
+                self.stem[node], self.stem_room[node] = number, room
             else:
                 self.word[node], self.entry[node] = room, number
+        self._begin()
+
+    def _begin(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.best: list[tuple[int, int]] = []  # (edits, entry) of the nearest match if a word ends here
@@ -107,7 +115,7 @@ class Lexicon:
 
     def _state(self, items: set) -> int:
         """Adds what a missing letter leads to, drops what has no room left, and names the set."""
-        todo, kept = list(items), set()
+        todo, kept, stems = [x for x in items if x[0] >= 0], set(), [(x[1], -1 - x[0]) for x in items if x[0] < 0]
         while todo:
             node, edits, owed = item = todo.pop()
             if item in kept or edits > self.room[node]:
@@ -115,14 +123,16 @@ class Lexicon:
             kept.add(item)
             if not owed:
                 todo += [(child, edits + 1, "") for child in self.children[node].values()]
-        stems = [self.stem[node] for node, edits, owed in kept if node >= 0 and self.stem[node] >= 0 and not edits and not owed]
+                if edits <= self.stem_room[node]:
+                    stems.append((edits, self.stem[node]))
         if stems:
-            kept = {(-1 - min(stems), 0, "")}  # whatever follows, the stem matched
+            edits, stem = min(stems)  # whatever follows, the stem matched; only what may have fewer edits goes on
+            kept = {x for x in kept if x[1] < edits} | {(-1 - stem, edits, "")}
         key = frozenset(kept)
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
-            done = [(0, -1 - node) if node < 0 else (edits, self.entry[node]) for node, edits, owed in key if node < 0 or not owed and edits <= self.word[node]]
+            done = [(edits, -1 - node if node < 0 else self.entry[node]) for node, edits, owed in key if node < 0 or not owed and edits <= self.word[node]]
             self.best.append(min(done, default=(self.NONE, -1)))
         return self.ids[key]
 
@@ -130,7 +140,7 @@ class Lexicon:
         out = set()
         for node, edits, owed in self.sets[state]:
             if node < 0:
-                out.add((node, 0, ""))
+                out.add((node, edits, ""))
             elif owed:
                 if c == owed:
                     out.add((node, edits, ""))
@@ -151,16 +161,13 @@ class Lexicon:
         return self.match(word)[0]
 
     def match(self, word: str) -> tuple[int, int]:
-        """Edits to the nearest entry that allows them, and its number; NONE without one. Words of over 40 letters never
-        match."""
-        if len(word) > 40:
-            return self.NONE, -1
+        """Edits to the nearest entry that allows them, and its number; NONE without one."""
+        if len(self.sets) > STATES or len(self.moves) > 2 * STATES:
+            self._begin()
         state, moves, sets = self.start, self.moves, self.sets
         for c in word:
             to = moves.get((state, c))
             if to is None:
-                if len(moves) > 200_000:
-                    moves.clear()
                 to = self._move(state, c)
             state = to
             if not sets[state]:
@@ -170,8 +177,8 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class Model:
-    """What fitting gives: a few numbers, at most ENTRIES entries with the weights of their misspellings, and the
-    misspellings that clean documents use."""
+    """What fitting gives: a few numbers, the entries with the weights of their misspellings, and the misspellings that clean
+    documents use. All of them come from the sample, whose rows FIT_ROWS bounds."""
 
     entries: tuple[str, ...] = ()
     misspelt: tuple[float, ...] = ()
@@ -256,7 +263,7 @@ def _terms(batches):
         for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch), strict=True):
             words = {bare(w) for w in set(tokens(text))}
             words.discard("")
-            counts[toxic].update(words | {w[:k] + "*" for w in words if len(w) <= 40 for k in STEMS if len(w) > k})
+            counts[toxic].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
             counts[toxic][""] += 1
         terms = list(counts[True].keys() | counts[False].keys())
         yield record_batch({"term": pa.array(terms), "t": pa.array([counts[True][x] for x in terms], pa.int64()), "c": pa.array([counts[False][x] for x in terms], pa.int64())})
@@ -271,7 +278,7 @@ def _stands_out(t: int, c: int, toxic: int, clean: int) -> float:
 def choose_entries(terms: list[tuple[str, float, int]]) -> list[str]:
     """Terms (with the logarithms of their lifts, and the numbers of toxic documents they explain) without those that
     another one explains: a longer beginning than an accepted stem, or a beginning whose documents accepted longer entries
-    mostly have. Whole words stay beside their stem, as the stem takes no edits."""
+    mostly have. Whole words stay beside their stem, as they may take more edits."""
     chosen: dict[str, int] = {}
     for term, _, t in sorted(terms, key=lambda x: (-x[1] * x[2], -len(x[0].rstrip("*")), x[0].endswith("*"), x[0])):
         plain = term.rstrip("*")
@@ -280,24 +287,23 @@ def choose_entries(terms: list[tuple[str, float, int]]) -> list[str]:
         if term.endswith("*") and sum(n for e, n in chosen.items() if e.rstrip("*").startswith(plain)) >= 0.7 * t:
             continue
         chosen[term] = t
-        if len(chosen) >= ENTRIES:
-            break
     return list(chosen)
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Learns from `rows` labelled training documents at most; what reaches the driver is bounded by that and by
-    ENTRIES. Without toxic training rows the model finds nothing and scores low."""
+    """Learns from `rows` labelled training documents at most, which are stored once; counts are taken where they lie, and
+    what reaches the driver is counts by term, by spelling and by entry. Without toxic training rows the model finds nothing
+    and scores low. Rows of `documents` without an id have no label."""
     sample = F.broadcast(training_sample(labels, rows))
-    train = documents.select(F.col("doc_id").alias("label_id"), "text").join(sample, "label_id").select("toxic", "text")
-    counts = map_batches(train, _terms, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    rank = F.col("t") * F.log((F.col("t") + 0.5) / (F.col("c") + 0.5))
-    best = counts.where((F.col("term") == "") | (F.col("t") >= SUPPORT) & (F.col("c") <= F.col("t") / 10))
-    best = best.orderBy((F.col("term") == "").desc(), rank.desc(), "term").limit(3 * ENTRIES).collect()
-    toxic, clean = next(((r.t, r.c) for r in best if r.term == ""), (0, 0))
+    train = documents.select(F.col("doc_id").alias("label_id"), "text").join(sample, "label_id")
+    train = cut(train.select(F.monotonically_increasing_id().alias("row"), "toxic", "text"))
+    counts = cut(map_batches(train, _terms, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    toxic, clean = next(((r.t, r.c) for r in counts.where("term = ''").collect()), (0, 0))
     if not toxic or not clean:
         return Model(bias=-3.0 if not toxic else 0.0)
-    terms = {r.term: (lift, r.t) for r in best if r.term and (lift := _stands_out(r.t, r.c, toxic, clean))}
+    lift = (F.col("t") + 0.5) * (clean + 1) / ((F.col("c") + 0.5) * (toxic + 1))
+    likely = counts.where((F.col("term") != "") & (F.col("t") >= SUPPORT) & (F.col("c") <= F.col("t") / 10) & (lift >= LIFT * 0.999)).collect()
+    terms = {r.term: (lift, r.t) for r in likely if (lift := _stands_out(r.t, r.c, toxic, clean))}
 
     def contexts(batches):
         for batch in batches:
@@ -317,49 +323,46 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def found(batches):
         known = words_for(lexicon_only)
+        kind = pa.list_(pa.struct([("entry", pa.int32()), ("word", pa.string())]))
         for batch in batches:
             exact, quoted, odd = [], [], []
             for text in texts_of(batch):
                 words = tokens(text)
                 own = hits(text, known)
-                exact.append(sum(not m and not q for _, _, m, q, _ in own))
-                quoted.append(sum(not m and q for _, _, m, q, _ in own))
-                odd.append([{"entry": e, "word": bare(words[k])} for k, e, m, _, _ in own if m])
-            kind = pa.list_(pa.struct([("entry", pa.int32()), ("word", pa.string())]))
-            yield record_batch({"toxic": batch.column("toxic"), "exact": pa.array(exact, pa.int32()), "quoted": pa.array(quoted, pa.int32()), "odd": pa.array(odd, kind)})
+                exact.append(any(not m and not q for _, _, m, q, _ in own))
+                quoted.append(any(not m and q for _, _, m, q, _ in own))
+                odd.append([{"entry": e, "word": w} for e, w in sorted({(e, bare(words[k])) for k, e, m, _, _ in own if m})])
+            yield record_batch({"row": batch.column("row"), "toxic": batch.column("toxic"), "exact": pa.array(exact, pa.bool_()), "quoted": pa.array(quoted, pa.bool_()), "odd": pa.array(odd, kind)})
 
-    seen = map_batches(train, found, "toxic boolean, exact int, quoted int, odd array<struct<entry:int,word:string>>").where("exact + quoted + size(odd) > 0").collect()
+    seen = cut(map_batches(train, found, "row bigint, toxic boolean, exact boolean, quoted boolean, odd array<struct<entry:int,word:string>>"))
     return _calibrated(entries, seen, toxic, clean)
 
 
-def _calibrated(entries: tuple[str, ...], seen: list, toxic: int, clean: int) -> Model:
+def _calibrated(entries: tuple[str, ...], seen: DataFrame, toxic: int, clean: int) -> Model:
     """Weights from the sample's documents with hits, each from a prior of ten or eight documents.
 
     An entry's misspellings are worth the share of toxic documents among those with no other hit that hold a spelling
     which no other document has: that is what a spelling not seen in the sample is like. Spellings that clean
     documents have are exceptions. The curve passes through the shares of toxic documents without and with an exact hit.
     """
-    spelt = {True: Counter(), False: Counter()}
-    for r in seen:
-        spelt[r.toxic].update({o.word for o in r.odd})
-    exceptions = frozenset(w for w, c in spelt[False].items() if 5 * c > spelt[True][w])
-    rare: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    quoted, plain = Counter(), Counter()
-    for r in seen:
-        plain[r.toxic] += r.exact > 0
-        quoted[r.toxic] += r.quoted > 0 and not r.exact
-        if not r.exact and not r.quoted:
-            rare[r.toxic].update({o.entry for o in r.odd if spelt[True][o.word] + spelt[False][o.word] == 1 or r.toxic})
-    misspelt = tuple((7 + rare[True][e]) / (10 + rare[True][e] + rare[False][e]) for e in range(len(entries)))
+    n = lambda c: F.count_if(c)
+    exact, quoted = F.col("exact"), F.col("quoted") & ~F.col("exact")
+    whole = seen.agg(n(exact & F.col("toxic")).alias("plain_t"), n(exact & ~F.col("toxic")).alias("plain_c"), n(quoted & F.col("toxic")).alias("quoted_t"), n(quoted & ~F.col("toxic")).alias("quoted_c")).first()
+    odd = seen.select("row", "toxic", (~F.col("exact") & ~F.col("quoted")).alias("alone"), F.explode("odd").alias("o")).select("row", "toxic", "alone", "o.entry", "o.word")
+    spelt = cut(odd.select("row", "toxic", "word").distinct().groupBy("word").agg(n(F.col("toxic")).alias("t"), n(~F.col("toxic")).alias("c")))
+    exceptions = frozenset(r.word for r in spelt.where("5 * c > t").select("word").collect())
+    single = odd.where("alone").join(spelt, "word").where("toxic or t + c = 1").select("row", "toxic", "entry").distinct()
+    rare = {r.entry: (r.t, r.c) for r in single.groupBy("entry").agg(n(F.col("toxic")).alias("t"), n(~F.col("toxic")).alias("c")).collect()}
+    misspelt = tuple((7 + t) / (10 + t + c) for t, c in (rare.get(e, (0, 0)) for e in range(len(entries))))
     logit = lambda t, c: max(-4.0, min(4.0, math.log((t + 0.5) / (c + 0.5))))
-    bias, at_one = logit(toxic - plain[True], clean - plain[False]), logit(plain[True], plain[False])
-    return Model(entries, misspelt, exceptions, (2 + quoted[True]) / (8 + quoted[True] + quoted[False]), bias, max(at_one - bias, 0.5))
+    bias, at_one = logit(toxic - whole.plain_t, clean - whole.plain_c), logit(whole.plain_t, whole.plain_c)
+    return Model(entries, misspelt, exceptions, (2 + whole.quoted_t) / (8 + whole.quoted_t + whole.quoted_c), bias, max(at_one - bias, 0.5))
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) and hits (word places, whether misspelt, whether quoted). A null or empty text has no hits
     and the lowest score. The text alone is read; repeated rows give repeated results."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by ENTRIES and FIT_ROWS
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # as large as what FIT_ROWS documents teach
 
     def run(batches):
         model = shared.value
@@ -377,6 +380,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out (null without an id), score, predicted."""
     scored = score(documents, fit(documents, labels))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import held, map_batches, record_batch, texts_of
+from umbraframe.llm.common import held, map_batches, record_batch, texts_of, unused
 
 WINDOW = 13
 #: Words of benchmark text that one broadcast block holds at most, unless a single item has more.
@@ -102,22 +102,26 @@ def _tables(name: str, broadcast, window: int) -> list[PatternTable]:
     return held(("benchmark", name), lambda: tables_for(broadcast.value, window))
 
 
-#: What a search adds to the rows it passes through; the prefix keeps clear of columns that the table has.
+#: What a search adds to the rows it passes through, under names that the table doesn't have.
 _STATE = {"_wm_words": ("bigint", pa.int64()), "_wm_starts": ("array<int>", pa.list_(pa.int32())), "_wm_lengths": ("array<int>", pa.list_(pa.int32())), "_wm_items": ("array<string>", pa.list_(pa.string()))}
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+def state_names(documents: DataFrame) -> dict[str, str]:
+    return {n: unused(n, documents) for n in _STATE}
+
+
 def search(documents: DataFrame, benchmark: DataFrame, finish, schema, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Passes over the rows for all benchmark blocks, which add the columns of _STATE; `finish` takes the batches of the
     last pass in the same worker."""
-    context = documents.sparkSession.sparkContext
-    empty = {n: F.lit(0).cast(t) if t == "bigint" else F.array().cast(t) for n, (t, _) in _STATE.items()}
+    context, names = documents.sparkSession.sparkContext, state_names(documents)
+    empty = {names[n]: F.lit(0).cast(t) if t == "bigint" else F.array().cast(t) for n, (t, _) in _STATE.items()}
     df = documents.withColumns(empty)
     last = None
     for block in _blocks(benchmark, item_col, item_text_col):
         df = map_batches(df, last, df.schema) if last else df
-        last = _pass(context.broadcast(block), text_col, window)
-    last = last or _pass(context.broadcast([]), text_col, window)
+        last = _pass(context.broadcast(block), names, text_col, window)
+    last = last or _pass(context.broadcast([]), names, text_col, window)
     return map_batches(df, lambda batches: finish(last(batches)), schema)
 
 
@@ -132,14 +136,14 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return search(df, benchmark, _merge, schema, "text", item_col, item_text_col, window).withColumnRenamed("id", id_col)
 
 
-def _pass(broadcast, text_col: str, window: int):
+def _pass(broadcast, names: dict[str, str], text_col: str, window: int):
     name = uuid.uuid4().hex
 
     def run(batches):
         tables = _tables(name, broadcast, window)
         for batch in batches:
             n_words, starts, lengths, items = [], [], [], []
-            before = zip(*(batch.column(c).to_pylist() for c in ("_wm_starts", "_wm_lengths", "_wm_items")), strict=True)
+            before = zip(*(batch.column(names[c]).to_pylist() for c in ("_wm_starts", "_wm_lengths", "_wm_items")), strict=True)
             for text, (s, l, i) in zip(texts_of(batch, text_col), before, strict=True):
                 words, found = words_of(text), set(i)
                 for table in tables:
@@ -151,7 +155,7 @@ def _pass(broadcast, text_col: str, window: int):
                 starts.append(s)
                 lengths.append(l)
                 items.append(sorted(found))
-            own = {n: pa.array(v, t) for (n, (_, t)), v in zip(_STATE.items(), (n_words, starts, lengths, items), strict=True)}
+            own = {names[n]: pa.array(v, t) for (n, (_, t)), v in zip(_STATE.items(), (n_words, starts, lengths, items), strict=True)}
             yield record_batch({c: own.get(c, batch.column(c)) for c in batch.schema.names})
 
     return run
@@ -177,11 +181,13 @@ def _merge(batches):
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that the contract's rule does not call contaminated, with all their columns."""
+    """The rows that the contract's rule does not call contaminated, with all their columns, whatever their names are."""
+
+    names = state_names(documents)
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("_wm_words", "_wm_starts", "_wm_lengths")), strict=True)
+            rows = zip(*(batch.column(names[c]).to_pylist() for c in ("_wm_words", "_wm_starts", "_wm_lengths")), strict=True)
             hits = [(n, sum(b - a for a, b in merged(s, l))) for n, s, l in rows]
             yield batch.filter(pa.array([not contaminated_row(h, n) for n, h in hits], pa.bool_())).select(documents_columns)
 
