@@ -1,14 +1,22 @@
-"""Substring dedup by relative Lempel-Ziv factors.
-
-Every document is factored against all text that comes before it (smaller id, or earlier in itself). A factor is a
-run of words whose windows of WINDOW words all start earlier somewhere; at a factor's boundaries each window is looked up by itself, so a
-duplicate that begins inside one factor and ends in the next is found too. Words covered by a factor are duplicates.
-
-The reference is indexed in blocks that many machines hold. A window's anchor is the smallest hash among its
-GRAM-word sequences: equal windows have equal anchors, so one shuffle by anchor brings all places of a window to one
-block, and about one row in eight words is enough, as consecutive windows mostly share their anchor. A row carries
-the whole 64-bit hashes of its windows beside the 64-bit anchor. A block is a sorted stream: windows of an anchor seen
-before are duplicates, so that neither a document nor a group of copies is ever held as a whole.
+"""Substring dedup by window hashes under anchors, in place of a relative Lempel-Ziv parse.
+
+A document's factors are its runs of words whose windows of WINDOW words all start earlier somewhere (in a document of
+smaller id, or earlier in itself). At a factor's boundaries each window is looked up by itself, so a duplicate that begins
+inside one factor and ends in the next is found too. Words covered by a factor are duplicates. The parse itself was exchanged:
+a greedy parse against every reference block passes over all text once for each block, so its time grows with the square
+of the corpus; here the blocks are keyed by content, and a window meets only the one block that can hold it.
+
+A window's anchor is the least of its GRAM-word sequences, by hash, with hot ones last: equal windows have equal anchors, so
+one shuffle by anchor brings all places of a window to one block, and about one row in eight words is enough, as
+consecutive windows mostly share their anchor. A hot sequence holds more than one in HOT_SHARE of all places (counted
+over all documents first; there can't be more than HOT_SHARE of them, which bounds the broadcast). It is the anchor only of windows that have
+nothing else: those lie within a passage that is frequent as a whole. Windows that merely touch a frequent line go
+to where the words around it lead, so no line gathers the texts around its places.
+
+A row carries the 64-bit hashes of its windows beside the 64-bit anchor. A block is a sorted stream: windows of an anchor
+seen before are duplicates, so that neither a document nor a group of copies is ever held as a whole. Two different windows
+of one anchor are taken for one with a probability of 2 ** -64, so n of them give n ** 2 / 2 ** 65 false repeats; hot
+anchors, where n would be large, have few different windows.
 
 Windows that repeat within an Arrow batch are settled before the shuffle: a passage that a third of all documents share
 goes out once a batch.
@@ -24,10 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import map_batches, partitions_for, record_batch, texts_of
+from umbraframe.llm.common import cut, map_batches, partitions_for, record_batch, texts_of
+from umbraframe.llm.neardedup import marked
 
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1  # sequences in a window; at most as many windows share an anchor's place
+#: Places among which a hot sequence has more than one, and so the most hot sequences that there can be.
+HOT_SHARE = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _HASH = 8  # bytes of a window's hash beside its anchor
 
@@ -56,23 +67,55 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _windows(docs: np.ndarray, texts: list[str]) -> dict[str, np.ndarray] | None:
-    """All windows of some documents, in order of document and start: doc, start, hash, anchor, place of the anchor."""
-    hashes, counts = [], []
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts that have a window, and the number of words of each text (0 without a window)."""
+    hashes, counts = [np.zeros(0, np.uint64)], []
     for t in texts:
         w = words_of(t)
         if len(w) >= WINDOW:
             hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)))
         counts.append(len(w) if len(w) >= WINDOW else 0)
-    if not hashes:
+    return np.concatenate(hashes), np.array(counts, np.int64)
+
+
+def _frequent(batches):
+    """Places of sequences, all (null) and of those that a batch has often; what is hot overall is frequent in batches."""
+    for batch in batches:
+        h, counts = _word_hashes(texts_of(batch))
+        if len(h):
+            grams, n = np.unique(_mixed(_rolled(h, GRAM)), return_counts=True)
+            often = n >= max(4, len(counts) // 256)
+            yield record_batch({"gram": pa.array([None, *grams[often].view(np.int64).tolist()], pa.int64()), "n": pa.array([len(h), *n[often].tolist()], pa.int64())})
+
+
+def hot_sequences(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the sequences that hold more than one in HOT_SHARE of all places."""
+    counts = cut(map_batches(texts, _frequent, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    places = next((r.n for r in counts.where("gram is null").collect()), 0)
+    hot = counts.where(F.col("gram").isNotNull() & (F.col("n") * HOT_SHARE > places)).select("gram").collect()
+    return np.sort(np.array([r.gram for r in hot], np.int64).view(np.uint64))
+
+
+def _ranked(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What sequences are compared by: their hashes, hot ones behind all others."""
+    last = np.zeros(len(grams), np.uint64)
+    if len(hot):
+        last = (hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams).astype(np.uint64)
+    return grams >> np.uint64(1) | last << np.uint64(63)
+
+
+def _windows(rows: np.ndarray, texts: list[str], hot: np.ndarray) -> dict[str, np.ndarray] | None:
+    """All windows of some texts, in order of text and start: row (what `rows` says of the text), start, hash, anchor, place of
+    the anchor."""
+    h, counts = _word_hashes(texts)
+    if not len(h):
         return None
-    h, counts = np.concatenate(hashes), np.array(counts)
     has = counts > 0
     begins, lengths = np.concatenate([[0], np.cumsum(counts[has])[:-1]]), counts[has] - WINDOW + 1
     first = np.cumsum(lengths) - lengths
     at = np.arange(lengths.sum()) - np.repeat(first - begins, lengths)  # place of each window's first word
     whole = _mixed(_rolled(h, WINDOW))[at]
-    grams = _mixed(_rolled(h, GRAM))
+    grams = _ranked(_mixed(_rolled(h, GRAM)), hot)
     low, size = grams, 1
     while size * 2 <= SPAN:
         low, size = np.minimum(low[: len(low) - size], low[size:]), size * 2
@@ -80,11 +123,11 @@ def _windows(docs: np.ndarray, texts: list[str]) -> dict[str, np.ndarray] | None
     place = np.zeros(len(at), np.int64)
     for k in range(SPAN - 1, -1, -1):
         place[grams[at + k] == low] = k
-    return {"doc": np.repeat(docs[has], lengths), "start": at - np.repeat(begins, lengths), "hash": whole, "anchor": low, "place": at + place}
+    return {"row": np.repeat(rows[has], lengths), "start": at - np.repeat(begins, lengths), "hash": whole, "anchor": low, "place": at + place}
 
 
-def _repeats(key: np.ndarray, doc: np.ndarray, start: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-    """Which windows have an equal one (of their group) that starts earlier; rows are in order of document and start."""
+def _repeats(key: np.ndarray, place: tuple[np.ndarray, ...], group: np.ndarray | None = None) -> np.ndarray:
+    """Which windows have an equal one (of their group) at another, earlier place; they come in order of their places."""
     order = np.argsort(key, kind="stable") if group is None else np.lexsort((key, group))
     k = key[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
@@ -92,33 +135,37 @@ def _repeats(key: np.ndarray, doc: np.ndarray, start: np.ndarray, group: np.ndar
         new[1:] |= group[order][1:] != group[order][:-1]
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.zeros(len(key), bool)
-    out[order] = (doc[order] != doc[first]) | (start[order] != start[first])
+    out[order] = np.logical_or.reduce([x[order] != x[first] for x in place])
     return out
 
 
-def _emit(batches):
-    """A row for each anchor place: anchor, doc, start of its first window with a mask of the windows whose hashes
-    follow and one of those known to be duplicates, and the hashes."""
-    for batch in batches:
-        docs = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-        texts = texts_of(batch)
-        order = np.argsort(docs, kind="stable")
-        w = _windows(docs[order], [texts[k] for k in order])
-        if w is None:
-            continue
-        known = _repeats(w["hash"], w["doc"], w["start"])
-        # A row of the batch begins where the anchor's place changes, or the document.
-        head = np.concatenate([[True], (np.diff(w["place"]) != 0) | (np.diff(w["start"]) != 1)])
-        heads = np.flatnonzero(head)
-        bit = np.int64(1) << (np.arange(len(head)) - heads[np.cumsum(head) - 1])
-        sent, done = np.add.reduceat(np.where(known, 0, bit), heads), np.add.reduceat(np.where(known, bit, 0), heads)
-        raw = w["hash"][~known].astype("<u8")
-        n = np.add.reduceat((~known).astype(np.int64), heads)
-        ends = np.concatenate([[0], np.cumsum(n * _HASH)]).astype("<i4")
-        data = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
-        # A row without hashes only carries marks on; it goes anywhere, so that settled copies don't pile up.
-        anchor = np.where(sent > 0, w["anchor"][heads], _mixed(w["doc"][heads].astype(np.uint64) * _BASE + w["start"][heads].astype(np.uint64)))
-        yield record_batch({"anchor": pa.array(anchor.view(np.int64)), "doc": pa.array(w["doc"][heads]), "place": pa.array(w["start"][heads] << 32 | sent << 16 | done), "hashes": data})
+def _emit(hot):
+    def run(batches):
+        """A row for each anchor place: anchor, id and mark, start of its first window with a mask of the windows whose
+        hashes follow and one of those known to be duplicates, and the hashes."""
+        for batch in batches:
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "mark"))
+            texts, order = texts_of(batch), np.lexsort((marks, ids))
+            w = _windows(order, [texts[k] for k in order], hot.value)
+            if w is None:
+                continue
+            doc, mark = ids[w["row"]], marks[w["row"]]
+            known = _repeats(w["hash"], (doc, mark, w["start"]))
+            # A row of the batch begins where the anchor's place changes, or the text.
+            head = np.concatenate([[True], (np.diff(w["place"]) != 0) | (np.diff(w["start"]) != 1)])
+            heads = np.flatnonzero(head)
+            bit = np.int64(1) << (np.arange(len(head)) - heads[np.cumsum(head) - 1])
+            sent, done = np.add.reduceat(np.where(known, 0, bit), heads), np.add.reduceat(np.where(known, bit, 0), heads)
+            raw = w["hash"][~known].astype("<u8")
+            n = np.add.reduceat((~known).astype(np.int64), heads)
+            ends = np.concatenate([[0], np.cumsum(n * _HASH)]).astype("<i4")
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
+            # A row without hashes only carries marks on; it goes anywhere, so that settled copies don't pile up.
+            anchor = np.where(sent > 0, w["anchor"][heads], _mixed(doc[heads].astype(np.uint64) * _BASE + w["start"][heads].astype(np.uint64)))
+            place = w["start"][heads] << 32 | sent << 16 | done
+            yield record_batch({"anchor": pa.array(anchor.view(np.int64)), "doc": pa.array(doc[heads]), "mark": pa.array(mark[heads]), "place": pa.array(place), "hashes": data})
+
+    return run
 
 
 def _bits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +174,11 @@ def _bits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _settle(batches):
-    """Rows come sorted by anchor, document and start; gives doc and start << 16 | mask of duplicate windows."""
-    held_anchor, held = None, np.zeros(0, np.uint64)  # the last anchor so far and the windows seen under it
-    held_doc = held_start = np.zeros(0, np.int64)
+    """Rows come sorted by anchor, id, mark and start; gives id, mark and start << 16 | mask of duplicate windows."""
+    none = (np.zeros(0, np.int64),) * 3
+    held_anchor, held, held_place = None, np.zeros(0, np.uint64), none  # the last anchor so far and the windows seen under it
     for batch in batches:
-        anchor, doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc", "place"))
+        anchor, doc, mark, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc", "mark", "place"))
         if not len(anchor):
             continue
         start, sent, done = place >> 32, (place >> 16) & 0xFFFF, (place & 0xFFFF).copy()
@@ -147,22 +194,22 @@ def _settle(batches):
         some = ~alone[row]
         row, bit, data = row[some], bit[some], data[some]
         if len(row):
-            key, of, d, s = np.ascontiguousarray(data).view("<u8").reshape(-1), group[row], doc[row], start[row] + bit
+            key, of, at = np.ascontiguousarray(data).view("<u8").reshape(-1), group[row], (doc[row], mark[row], start[row] + bit)
             if anchor[0] == held_anchor:  # what was seen before this batch comes first
-                key, d, s = np.concatenate([held, key]), np.concatenate([held_doc, d]), np.concatenate([held_start, s])
+                key, at = np.concatenate([held, key]), tuple(map(np.concatenate, zip(held_place, at, strict=True)))
                 of = np.concatenate([np.zeros(len(held), of.dtype), of])
-            found = _repeats(key, d, s, of)
+            found = _repeats(key, at, of)
             last = of == group[-1]
             own = found[len(found) - len(row) :]
             np.bitwise_or.at(done, row[own], np.int64(1) << bit[own])
-            keep, at = np.unique(key[last], return_index=True)
-            held, held_doc, held_start = keep, d[last][at], s[last][at]
+            held, first = np.unique(key[last], return_index=True)
+            held_place = tuple(x[last][first] for x in at)
         elif anchor[-1] != held_anchor:
-            held, held_doc, held_start = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            held, held_place = np.zeros(0, np.uint64), none
         held_anchor = anchor[-1]
         hit = np.flatnonzero(done)
         if len(hit):
-            yield record_batch({"doc": pa.array(doc[hit]), "mark": pa.array(start[hit] << 16 | done[hit])})
+            yield record_batch({"doc": pa.array(doc[hit]), "mark": pa.array(mark[hit]), "repeats": pa.array(start[hit] << 16 | done[hit])})
 
 
 def _factors(n: int, marks: list[int] | None) -> list[tuple[int, int]]:
@@ -183,7 +230,7 @@ def _factors(n: int, marks: list[int] | None) -> list[tuple[int, int]]:
 def _kept(batches):
     for batch in batches:
         kept, sizes, removed, spans = [], [], [], []
-        for text, marks in zip(texts_of(batch), batch.column("marks").to_pylist(), strict=True):
+        for text, marks in zip(texts_of(batch), batch.column("repeats").to_pylist(), strict=True):
             words = words_of(text)
             factors = _factors(len(words), marks)
             left, at = [], 0
@@ -201,15 +248,18 @@ def _kept(batches):
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_words, n_removed, kept (words joined by a space) and spans (word ranges).
 
-    A null text has no words. A repeated row isn't a place of its own: it starts neither earlier nor later than
-    the row that it repeats, and both get the same result. Other columns are ignored.
+    A null text has no words. A repeated row (same id, same text) isn't a place of its own: it starts neither earlier nor later
+    than the row that it repeats, and both get the same result. Rows of one id with different texts are documents
+    of their own, in the order of a hash of their texts. A row without an id has no place among the others: nothing is
+    removed from it, and it makes nothing a repeat. Other columns are ignored.
     """
-    df = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    n = partitions_for(df.sparkSession)
-    rows = map_batches(df.where("id is not null"), _emit, "anchor bigint, doc bigint, place bigint, hashes binary")
-    rows = rows.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "place")
-    marks = map_batches(rows, _settle, "doc bigint, mark bigint").groupBy("doc").agg(F.collect_list("mark").alias("marks"))
-    joined = df.join(marks, df["id"] == marks["doc"], "left").select("id", "text", "marks")
+    df = marked(documents, id_col, text_col)
+    placed = df.where("id is not null")
+    hot = df.sparkSession.sparkContext.broadcast(hot_sequences(placed.select("text")))  # at most HOT_SHARE hashes
+    rows = map_batches(placed, _emit(hot), "anchor bigint, doc bigint, mark bigint, place bigint, hashes binary")
+    rows = rows.repartition(partitions_for(df.sparkSession), "anchor").sortWithinPartitions("anchor", "doc", "mark", "place")
+    found = map_batches(rows, _settle, "doc bigint, mark bigint, repeats bigint").groupBy(F.col("doc").alias("own_id"), F.col("mark").alias("own_mark")).agg(F.collect_list("repeats").alias("repeats"))
+    joined = df.join(found, (F.col("id") == F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left").select("id", "text", "repeats")
     out = map_batches(joined, _kept, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")
     return out.withColumnRenamed("id", id_col)
 
@@ -219,19 +269,19 @@ def repeats_report(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-def brute_force(documents: list[tuple[int, str | None]]) -> list[tuple]:
-    """The same rows from a dictionary of all windows; for tests."""
-    first: dict[tuple, tuple[int, int]] = {}
-    split = [(d, words_of(t)) for d, t in documents]
-    for d, w in split:
-        for s in range(len(w) - WINDOW + 1):
+def brute_force(documents: list[tuple], order=lambda row: row[0]) -> list[tuple]:
+    """The same rows from a dictionary of all windows, for tests; rows are (id, text), and `order` says which come first."""
+    first: dict[tuple, tuple] = {}
+    split = [(d, order((d, t)), words_of(t)) for d, t in documents]
+    for d, at, w in split:
+        for s in range(len(w) - WINDOW + 1 if d is not None else 0):
             key = tuple(w[s : s + WINDOW])
-            first[key] = min(first.get(key, (d, s)), (d, s))
+            first[key] = min(first.get(key, (at, s)), (at, s))
     rows = []
-    for d, w in split:
+    for d, at, w in split:
         gone: set[int] = set()
-        for s in range(len(w) - WINDOW + 1):
-            if first[tuple(w[s : s + WINDOW])] < (d, s):
+        for s in range(len(w) - WINDOW + 1 if d is not None else 0):
+            if first[tuple(w[s : s + WINDOW])] < (at, s):
                 gone.update(range(s, s + WINDOW))
         left = b" ".join(x for k, x in enumerate(w) if k not in gone)
         rows.append((d, len(w), len(gone), hashlib.sha256(left).hexdigest()))
