@@ -165,26 +165,63 @@ def digest(turns):
     return len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss)
 
 
-def test_chat_reads_back(spark, monkeypatch):
-    monkeypatch.setattr(chat, "CHUNK_CHARS", 400)
+def conversations(spark):
     r = random.Random(2)
-    said = ["", None, "hi", "<|im_end|><|im_start|>", "é\U0001f600 日本", "\n\nx", "<\\|", "long " * 90, "<|endoftext|>"]
+    said = ["", None, "hi", "<|im_end|><|im_start|>", "é\U0001f600 日本", "\n\nx", "<\\|", "long " * 90, "<|endoftext|>", "it's  we'll\t1234 ..."]
     convs = {c: [(r.choice(["user", "assistant", "system", None]), r.choice(said)) for _ in range(r.randint(1, 6))] for c in range(60)}
     convs[7] = [("assistant" if k % 2 else "user", r.choice(said)) for k in range(900)]
-    df = spark.createDataFrame([(c, k, role, text, "x") for c, turns in convs.items() for k, (role, text) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string, formatted string")
+    convs[None] = [("assistant", "no id"), ("user", None)]
+    rows = [(c, k, role, text, "x", 5) for c, turns in convs.items() for k, (role, text) in enumerate(turns)]
+    rows += [(8, None, "user", "b", "x", 5), (8, None, "assistant", "a", "x", 5), (9, 0, "user", "again", "x", 5), (9, 0, "user", "again", "x", 5)]
+    convs[8] = [("assistant", "a"), ("user", "b"), *convs[8]]
+    turn_0 = sorted([convs[9][0], ("user", "again"), ("user", "again")], key=lambda t: tuple((x is not None, x or "") for x in t))
+    convs[9] = [*turn_0, *convs[9][1:]]
+    return convs, spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string, part int")
+
+
+def test_chat_reads_back(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE_CHARS", 400)
+    convs, df = conversations(spark)
     got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in chat.chat_report(df).collect()}
     convs[-1] = [("user", chat.PLANTED), ("assistant", chat.PLANTED)]
     assert got == {c: digest(t) for c, t in convs.items()}
     assert chat.chat_report(df.limit(0)).count() == 1
 
 
-def test_mask_tokens_are_the_assistant_texts(spark):
-    df = spark.createDataFrame([(1, 0, "user", "Hello é"), (1, 1, "assistant", "\U0001f600 fine <|im_end|>")], "conv_id bigint, turn bigint, role string, text string")
-    out = chat.format_conversations(df).orderBy("part", "seq").collect()
-    tokenizer = chat.chat_tokenizer(chat.default_tokenizer())
-    masked = [i for row in out for x in row.loss for i in np.frombuffer(row.ids, "<u4").tolist()[x.first : x.last]]
-    assert chat.unescape(tokenizer.decode(masked, skip_special_tokens=False)) == "\U0001f600 fine <|im_end|>"
-    assert chat.parse("".join(row.formatted for row in out)) == [("user", "Hello é"), ("assistant", "\U0001f600 fine <|im_end|>")]
+def test_output_is_the_same_for_any_partitioning(spark, monkeypatch):
+    convs, df = conversations(spark)
+    seen = []
+    for parts, chunk in (("1", 100_000), ("40", 100_000), ("7", 300)):
+        monkeypatch.setattr(chat, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(chat, "partitions_for", lambda session, n=parts: int(n))
+        seen.append(sorted(map(repr, chat.format_conversations(df).collect())))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == df.count()
+    # The rows of a conversation are its whole rendering, and their tokens are those of the library, with its offsets.
+    encoder = chat.ChatEncoder(chat.default_tokenizer())
+    monkeypatch.undo()
+    rows = sorted(chat.format_conversations(df).collect(), key=lambda x: (x.conv_id is not None, x.conv_id or 0, x.turn_no))
+    for c, turns in convs.items():
+        own = [x for x in rows if x.conv_id == c]
+        text, spans = chat.render([(a or "", b or "") for a, b in turns])
+        assert [x.turn_no for x in own] == list(range(len(turns))) and "".join(x.formatted for x in own) == text
+        assert [x.start for x in own] == [sum(len(y.formatted) for y in own[:k]) for k in range(len(own))]
+        whole = encoder.tokenizer.encode(text, add_special_tokens=False)
+        ids, starts, ends = (np.frombuffer(b"".join(x[n] for x in own), t).tolist() for n, t in (("ids", "<u4"), ("token_starts", "<i8"), ("token_ends", "<i8")))
+        assert ids == whole.ids and list(zip(starts, ends, strict=True)) == whole.offsets
+        at = np.cumsum([0, *(len(x.ids) // 4 for x in own)]).tolist()
+        learned = [(starts[at[k] + y.first], ends[at[k] + y.last - 1]) for k, x in enumerate(own) for y in x.loss]
+        assert learned == [(a, b) for a, b in spans if b > a]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(ALPHABET, st.text(max_size=30)))
+def test_pieces_equal_the_library(text):
+    encoder = test_pieces_equal_the_library.__dict__.setdefault("encoder", None) or chat.ChatEncoder(chat.default_tokenizer())
+    test_pieces_equal_the_library.__dict__["encoder"] = encoder
+    text = chat.START + chat.escape(text) + chat.END
+    ids, starts, ends = encoder.encode(text)
+    whole = encoder.tokenizer.encode(text, add_special_tokens=False)
+    assert (ids.tolist(), list(zip(starts.tolist(), ends.tolist(), strict=True))) == (whole.ids, whole.offsets)
 
 
 # 4 byte-level BPE

@@ -8,9 +8,10 @@ their own, so a token never straddles a text's edge.
 Texts and roles cannot forge a control string: "<", any number of backslashes and "|" get one more backslash, and
 reading back takes one away, so every text is restored as it was.
 
-Rows are range-partitioned by conversation and turn, so a conversation with a third of all rows is spread over many
-tasks. Very long conversations are rendered and encoded in chunks of whole turns, which gives the same tokens, as
-control tokens separate the turns.
+The result has a row for each turn; its offsets count from the beginning of its whole conversation. Rows are dealt to parts of
+equal size by (conversation, turn), so a conversation with a third of all rows is spread over many tasks. The parts'
+bounds are chosen first, from a sample of the keys, so that the characters and turns of a conversation before each part can be
+summed up; only conversations that a bound cuts need that. How many parts there are changes no row of the result.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +34,11 @@ from umbraframe.llm.common import held, map_batches, partitions_for, record_batc
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED = "assistant"
-#: Code points of rendered turns after which a chunk ends.
-CHUNK_CHARS = 100_000
+#: Code points that are rendered and encoded at once, and that are read back at once; no result depends on them.
+CHUNK_CHARS, PIECE_CHARS = 100_000, 60_000
+#: Keys that the sample for the parts' bounds has for each part.
+KEYS_EACH = 60
+CACHE_PIECES = 300_000
 _RAW, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.S)
 
@@ -69,18 +76,62 @@ def mask(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) ->
     return [(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True) if b > a]
 
 
-def chat_tokenizer(file: str):
-    """The vocabulary with the control strings as further tokens."""
+#: How the vocabulary splits a text before merging. Control strings are pieces of their own and end the text before them;
+#: nothing else holds "<|" once texts are escaped.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?:(?!<\|)[^\s\p{L}\p{N}])+|\s+(?:(?!\S)|(?=<\|))|\s+"
 
-    def build():
+
+class _Known(dict):
+    """Ids (uint32 bytes) of each piece seen, by the library. A full cache keeps its older half."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= CACHE_PIECES:
+            for old in list(islice(self, CACHE_PIECES // 2, None)):
+                del self[old]
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
+class ChatEncoder:
+    """The library's tokenizer with the control strings as further tokens, a cache by piece, and offsets.
+
+    Every byte of a text is in one token, so token lengths in bytes give the offsets; a token that has a part of a
+    character spans all of it.
+    """
+
+    def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import AddedToken, Tokenizer
 
-        tokenizer = Tokenizer.from_file(file)
-        tokenizer.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in (START, SEP, END)])
-        return tokenizer
+        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in (START, SEP, END)])
+        own = set(self.tokenizer.get_added_tokens_decoder())
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.sizes[i] = len(token.encode()) if i in own else len(token)  # a vocabulary's character stands for a byte
+        self.pieces = regex.compile("|".join(map(re.escape, (START, SEP, END))) + "|" + PIECES)
+        self.known = _Known(self.tokenizer)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each token's first and last (exclusive) code point."""
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, self.pieces.findall(text))), "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        starts = ends - self.sizes[ids]
+        if len(ids) and not text.isascii():
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            point = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
+            starts, ends = point[starts], point[ends - 1] + 1
+        return ids, starts, ends
 
-    return held(("chat", file), build)
+
+def chat_encoder(file: str) -> ChatEncoder:
+    return held(("chat", file), lambda: ChatEncoder(file))
 
 
 def default_tokenizer() -> str:
@@ -89,64 +140,122 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-FORMATTED = "conv_id bigint, part bigint, seq bigint, formatted string, ids binary, token_starts binary, token_ends binary, loss array<struct<first:int,last:int>>"
+FORMATTED = "conv_id bigint, turn_no bigint, start bigint, formatted string, ids binary, token_starts binary, token_ends binary, loss array<struct<first:int,last:int>>"
 _LOSS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+#: Stands for a null conversation or turn where keys are compared.
+_NONE = -(2**63)
 
 
 def _chunks(batches) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
-    """Consecutive turns of one conversation, in chunks."""
-    conv, turns, held = None, [], 0
+    """Consecutive turns of one conversation, whole unless it is very long."""
+    conv, turns, size = None, [], 0
     for batch in batches:
         for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-            if turns and (c != conv or held >= CHUNK_CHARS):
+            if turns and (c != conv or size >= CHUNK_CHARS):
                 yield conv, turns
-                turns, held = [], 0
+                turns, size = [], 0
             conv = c
             turns.append((role or "", text or ""))
-            held += len(turns[-1][1])
+            size += len(turns[-1][1])
     if turns:
         yield conv, turns
 
 
-def _format(file: str):
-    def some(part: int, seq: int, chunks: list) -> pa.RecordBatch:
-        rendered = [render(turns) for _, turns in chunks]
-        rows = []
-        for (text, spans), enc in zip(rendered, chat_tokenizer(file).encode_batch([r[0] for r in rendered], add_special_tokens=False), strict=True):
-            offsets = np.array(enc.offsets, "<i4").reshape(-1, 2)
-            starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
-            loss = [{"first": a, "last": b} for a, b in mask(spans, starts, ends)]
-            rows.append((text, np.array(enc.ids, "<u4").tobytes(), starts.tobytes(), ends.tobytes(), loss))
-        texts, ids, starts, ends, loss = zip(*rows, strict=True)
-        return record_batch({
-            "conv_id": pa.array([c for c, _ in chunks], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), "seq": pa.array(range(seq, seq + len(rows)), pa.int64()),
-            "formatted": pa.array(texts), "ids": pa.array(ids, pa.binary()), "token_starts": pa.array(starts, pa.binary()), "token_ends": pa.array(ends, pa.binary()), "loss": pa.array(loss, _LOSS),
-        })
+def _format(file: str, before: dict[tuple[int, int], tuple[int, int]]):
+    def rows_of(encoder: ChatEncoder, conv: int | None, turns: list, turn_no: int, at: int) -> tuple[list[tuple], int]:
+        """A row for each turn of a chunk that begins at code point `at` of its conversation, and where the chunk ends."""
+        parts = [render([turn]) for turn in turns]
+        text = "".join([p for p, _ in parts])
+        ids, starts, ends = encoder.encode(text)
+        edges = np.cumsum([0, *(len(p) for p, _ in parts)])
+        spans = [(a + edge, b + edge) for (_, own), edge in zip(parts, edges[:-1].tolist(), strict=True) for a, b in own]
+        learned = mask(spans, starts, ends)
+        token = np.searchsorted(starts, edges, "left")  # control tokens begin where turns do
+        first, rows = np.searchsorted([a for a, _ in learned], token, "left") if learned else np.zeros(len(token), int), []
+        for k, (piece, _) in enumerate(parts):
+            a, b = token[k], token[k + 1]
+            loss = [{"first": x - int(a), "last": y - int(a)} for x, y in learned[first[k] : first[k + 1]]]
+            rows.append((conv, turn_no + k, at + int(edges[k]), piece, ids[a:b].tobytes(), (starts[a:b] + at).astype("<i8").tobytes(), (ends[a:b] + at).astype("<i8").tobytes(), loss))
+        return rows, at + len(text)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"conv_id": pa.int64(), "turn_no": pa.int64(), "start": pa.int64(), "formatted": pa.string(), "ids": pa.binary(), "token_starts": pa.binary(), "token_ends": pa.binary(), "loss": _LOSS}
+        return record_batch({n: pa.array(v, t) for (n, t), v in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
 
     def run(batches):
-        part, seq, held = TaskContext.get().partitionId(), 0, []
-        for chunk in _chunks(batches):
-            held.append(chunk)
-            if len(held) == 64:
-                yield some(part, seq, held)
-                seq, held = seq + len(held), []
-        if held:
-            yield some(part, seq, held)
+        part, encoder, rows, held_chars = TaskContext.get().partitionId(), chat_encoder(file), [], 0
+        last, turn_no, at = (), 0, 0
+        for conv, turns in _chunks(batches):
+            if last != (conv,):
+                last, (at, turn_no) = (conv,), before.get((_NONE if conv is None else conv, part), (0, 0))
+            some, end = rows_of(encoder, conv, turns, turn_no, at)
+            rows, held_chars, turn_no, at = rows + some, held_chars + end - at, turn_no + len(turns), end
+            if held_chars >= CHUNK_CHARS:
+                yield batch_of(rows)
+                rows, held_chars = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return run
 
 
+def _bounds(keys: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to parts - 1 keys (conversations, turns), in order, between parts of about the same size; they come from a sample
+    of KEYS_EACH keys a part, and whatever they are, every row lies in one part."""
+    rows = keys.count()
+    some = keys.sample(min(1.0, KEYS_EACH * parts / rows), seed=1).collect() if rows else []
+    found = sorted((r.conv, r.turn) for r in some)
+    cuts = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
+    return np.array([c for c, _ in cuts], np.int64), np.array([t for _, t in cuts], np.int64)
+
+
+def _part(bounds: tuple[np.ndarray, np.ndarray]):
+    """The number of bounds that are not above a row's key, as a column function."""
+    convs, turns = bounds
+
+    @F.pandas_udf("int")
+    def part(conv: pd.Series, turn: pd.Series) -> pd.Series:
+        c, t = conv.to_numpy(np.int64), turn.to_numpy(np.int64)
+        out = np.searchsorted(convs, c, "left")
+        for one in np.intersect1d(c, convs):  # only these are cut
+            own = c == one
+            low, high = np.searchsorted(convs, one, "left"), np.searchsorted(convs, one, "right")
+            out[own] = low + np.searchsorted(turns[low:high], t[own], "right")
+        return pd.Series(out.astype(np.int32))
+
+    return part
+
+
+def _rendered_chars(df: DataFrame):
+    """Code points of a turn's rendering."""
+    escaped = lambda c: F.length(c) + F.size(F.regexp_extract_all(c, F.lit(_RAW.pattern), F.lit(0)))
+    return F.lit(len(START) + len(SEP) + len(END)) + escaped(F.coalesce("role", F.lit(""))) + escaped(F.coalesce("text", F.lit("")))
+
+
 def format_conversations(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Chunks of formatted conversations: conv_id, part and seq (their order), formatted, ids (uint32), the tokens'
-    starts and ends (int32 code points in formatted) and loss (token ranges).
+    """A row for each turn: conv_id, turn_no (from 0 in the conversation), start (the turn's first code point in the rendered
+    conversation), formatted (the turn's part of it), ids (uint32), the tokens' starts and ends (int64 code points in the
+    conversation) and loss (ranges among the row's tokens).
 
-    Turns are ordered by turn, ties by role and text; nulls come first, repeated rows stay. A null text or role is
-    an empty one. A conversation of usual length in one partition is one chunk. Other columns are ignored.
+    Turns are ordered by turn (a whole number), ties by role and text; nulls come first, repeated rows stay. A null text or
+    role is an empty one. Rows without a conversation are one conversation, whose conv_id is null. Other columns are ignored.
+    An empty table gives no rows. Each partition holds consecutive turns, in order.
     """
-    df = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
-    n = partitions_for(df.sparkSession)
-    df = df.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_batches(df.select("conv_id", "role", "text"), _format(tokenizer or default_tokenizer()), FORMATTED)
+    df = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    parts = partitions_for(df.sparkSession)
+    conv, turn = F.coalesce("conv_id", F.lit(_NONE)), F.coalesce("turn", F.lit(_NONE))
+    bounds = _bounds(df.select(conv.alias("conv"), turn.alias("turn")), parts)
+    part = _part(bounds)
+    before: dict[tuple[int, int], tuple[int, int]] = {}
+    cut = sorted(set(bounds[0].tolist()))  # conversations that a bound lies in; parts - 1 at most
+    if cut:
+        sizes = df.where(conv.isin(cut)).groupBy(conv.alias("conv"), part(conv, turn).alias("part")).agg(F.sum(_rendered_chars(df)).alias("chars"), F.count(F.lit(1)).alias("turns"))
+        sums: dict[int, tuple[int, int]] = {}
+        for r in sorted(sizes.collect(), key=lambda r: (r.conv, r.part)):
+            before[r.conv, r.part] = at = sums.get(r.conv, (0, 0))
+            sums[r.conv] = (at[0] + r.chars, at[1] + r.turns)
+    df = df.repartitionById(parts, part(conv, turn)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    return map_batches(df.select("conv_id", "role", "text"), _format(tokenizer or default_tokenizer(), before), FORMATTED)
 
 
 class _Digest:
@@ -168,7 +277,7 @@ class _Digest:
 
 
 _KEPT = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
-_OPEN = {"part": pa.int64(), "seq": pa.int64(), "turns": pa.binary(), "loss": pa.binary()}
+_OPEN = {"turn_no": pa.int64(), "turns": pa.binary(), "loss": pa.binary()}
 _SQL = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
 
 
@@ -177,46 +286,58 @@ def _rows(rows: list[dict], columns: dict) -> pa.RecordBatch:
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """What each chunk holds, from its formatted text and its token mask alone."""
-    columns = [batch.column(n).to_pylist() for n in ("conv_id", "part", "seq", "formatted", "token_starts", "token_ends", "loss")]
-    for conv, part, seq, text, starts, ends, loss in zip(*columns, strict=True):
+    """What each turn says, from its formatted text and its token mask alone."""
+    columns = [batch.column(n).to_pylist() for n in ("conv_id", "turn_no", "start", "formatted", "token_starts", "token_ends", "loss")]
+    for conv, turn_no, at, text, starts, ends, loss in zip(*columns, strict=True):
+        learned = ""
+        if loss:
+            starts, ends = np.frombuffer(starts, "<i8"), np.frombuffer(ends, "<i8")
+            learned = "".join([unescape(text[starts[x["first"]] - at : ends[x["last"] - 1] - at]) for x in loss])
         turns = parse(text)
-        starts, ends = np.frombuffer(starts, "<i4"), np.frombuffer(ends, "<i4")
-        learned = "".join([unescape(text[starts[x["first"]] : ends[x["last"] - 1]]) for x in loss])
-        said = "".join([f"{role}\n{body}\n" for role, body in turns])
-        yield conv, part, seq, (len(turns), said.encode("utf-8", "surrogatepass"), len(learned), learned.encode("utf-8", "surrogatepass"), len(text))
+        yield conv, turn_no, (len(turns), "".join([f"{role}\n{body}\n" for role, body in turns]), learned, len(text))
+
+
+def _pieces(batches) -> Iterator[tuple]:
+    """(conv_id, turn_no, n_turns, turns, loss_chars, loss, formatted_chars) of consecutive turns of a conversation together."""
+    conv, turn_no, n, said, learned, size = None, None, 0, [], [], 0
+
+    def piece():
+        loss = "".join(learned)
+        return conv, turn_no, n, "".join(said).encode("utf-8", "surrogatepass"), len(loss), loss.encode("utf-8", "surrogatepass"), size
+
+    for batch in batches:
+        for c, k, (turns, text, loss, chars) in _read(batch):
+            if n and (c != conv or size >= PIECE_CHARS):
+                yield piece()
+                n, said, learned, size = 0, [], [], 0
+            if not n:
+                conv, turn_no = c, k
+            n, size = n + turns, size + chars
+            said.append(text)
+            learned.append(loss)
+    if n:
+        yield piece()
 
 
 def _digests(batches):
     """A row for each conversation that lies within the partition, and the pieces of its first and last ones, which
     may go on in others."""
-    conv, digest, first, pieces, out = None, None, True, [], []
-
-    def piece(part, seq, content):
-        n, said, chars, learned, size = content
-        return {"conv_id": conv, "part": part, "seq": seq, "n_turns": n, "turns": said, "loss_chars": chars, "loss": learned, "formatted_chars": size}
-
+    conv, digest, first, own, out, size = None, None, True, [], [], 0
     columns = _KEPT | _OPEN
-    for batch in batches:
-        for c, part, seq, content in _read(batch):
-            if digest is not None and c != conv:
-                if not first:
-                    out.append({"conv_id": conv} | digest.row())
-                    pieces = []
-                first, digest = False, None
-                out, pieces = out + pieces, []
-            conv = c
-            digest = digest or _Digest()
-            digest.add(*content)
-            pieces.append(piece(part, seq, content))
-            if not first and len(pieces) > 8:  # a long conversation isn't held: it goes on as pieces
-                out, pieces, first = out + pieces, [], True
-            if first:
-                out, pieces = out + pieces, []
-            if len(out) >= 200:
-                yield _rows(out, columns)
-                out = []
-    yield _rows(out + pieces, columns)
+    for c, turn_no, n, said, chars, learned, formatted in _pieces(batches):
+        if digest is not None and c != conv:
+            out += [] if first else [{"conv_id": conv} | digest.row()]
+            first, digest, own = False, None, []
+        conv, digest = c, digest or _Digest()
+        digest.add(n, said, chars, learned, formatted)
+        own.append({"conv_id": c, "turn_no": turn_no, "n_turns": n, "turns": said, "loss_chars": chars, "loss": learned, "formatted_chars": formatted})
+        if first or len(own) > 8:  # a long conversation isn't held: it goes on as pieces
+            out, own, first = out + own, [], True
+        size += formatted
+        if size >= PIECE_CHARS * 16 and out:
+            yield _rows(out, columns)
+            out, size = [], 0
+    yield _rows(out + own, columns)
 
 
 def _finish(batches):
@@ -240,14 +361,15 @@ def _finish(batches):
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row for each conversation, from the operator's output.
+    """One row for each conversation, from the operator's output; each partition holds consecutive turns.
 
     Conversations within one partition are finished where they are. Only the first and the last one of each
-    partition, and very long ones, move as pieces; their digests are taken piece after piece, never from a whole.
+    partition, and very long ones, move as pieces. A digest over a whole text can only be taken in sequence, so the pieces
+    of one conversation go through one task, one after the other, and are never held together.
     """
     types = lambda columns: ", ".join(f"{n} {_SQL[t]}" for n, t in columns.items())
     rows = map_batches(formatted, _digests, types(_KEPT | _OPEN))
-    rows = rows.repartition(partitions_for(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "seq")
+    rows = rows.repartition(partitions_for(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn_no")
     return map_batches(rows, _finish, types(_KEPT))
 
 
