@@ -277,12 +277,12 @@ def _stands_out(t: int, c: int, toxic: int, clean: int) -> float:
 
 def choose_entries(terms: list[tuple[str, float, int]]) -> list[str]:
     """Terms (with the logarithms of their lifts, and the numbers of toxic documents they explain) without those that
-    another one explains: a longer beginning than an accepted stem, or a beginning whose documents accepted longer entries
-    mostly have. Whole words stay beside their stem, as they may take more edits."""
+    another one explains: a longer beginning than an accepted stem, a word whose accepted stem takes as many edits, or a
+    beginning whose documents accepted longer entries mostly have. A word that takes more edits stays beside its stem."""
     chosen: dict[str, int] = {}
     for term, _, t in sorted(terms, key=lambda x: (-x[1] * x[2], -len(x[0].rstrip("*")), x[0].endswith("*"), x[0])):
         plain = term.rstrip("*")
-        if term.endswith("*") and any(plain.startswith(e[:-1]) for e in chosen if e.endswith("*")):
+        if any(plain.startswith(e[:-1]) and (term.endswith("*") or edits_allowed(e) >= edits_allowed(term)) for e in chosen if e.endswith("*")):
             continue
         if term.endswith("*") and sum(n for e, n in chosen.items() if e.rstrip("*").startswith(plain)) >= 0.7 * t:
             continue
