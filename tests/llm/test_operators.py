@@ -402,6 +402,50 @@ def test_neighbours_and_edits(spark, edge, empty):
     assert simhash.fingerprints_in_order(table(spark, ["only one"])).first().near_next == 1.0
 
 
+def plain_simhash(text):
+    """Bit by bit: each pair of neighbouring words votes for or against every bit with its weight."""
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    words, step = re.findall("[^\x20\x09-\x0d]+", text), 0x9E3779B97F4A7C15
+    terms = {}
+    for k, word in enumerate(words):
+        before = words[k - 1] if k else ""
+        own = mixed(((xxhash.xxh64_intdigest(before.encode()) if k else 0) * step + xxhash.xxh64_intdigest(word.encode())) & full)
+        terms.setdefault(own, [len((before + word).encode()), 0])[1] += 1
+    votes = [0] * 128
+    for own, (size, count) in terms.items():
+        weight = min(size, 24) * (1 + (count.bit_length() - 1))
+        for b, hashed in ((0, own), (64, mixed((own + step) & full))):
+            for k in range(64):
+                votes[b + k] += weight if hashed >> k & 1 else -weight
+    return sum(1 << k for k, v in enumerate(votes) if v > 0).to_bytes(16, "little")
+
+
+def test_fingerprints_equal_plain_votes(spark, edge):
+    r = random.Random(6)
+    texts = [" ".join(r.choices(["a", "bb", "ccc", "é日", "longer-word", "x" * 30], k=r.randint(0, 120))) for _ in range(120)] + [None, "", " \n", "one"]
+    got = {x.doc_id: (x.fingerprint, x.near_next) for x in simhash.fingerprints_in_order(table(spark, texts)).collect()}
+    own = [plain_simhash(t or "") for t in texts]
+    bits = lambda a, b: 1 - (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() / 128
+    assert got == {k: (f.hex(), bits(f, own[(k + 1) % len(own)])) for k, f in enumerate(own)}
+    by_text = {(x.doc_id, x.n_chars): x.fingerprint for x in simhash.fingerprints_in_order(edge).collect()}
+    assert by_text == {(x.doc_id, len(x.text or "")): plain_simhash(x.text or "").hex() for x in edge.collect()}
+
+
+def test_every_query_id_is_answered(spark):
+    """Ids divisible by 20 against all: copies among the queries, a repeated id with another text, rows without an id."""
+    rows = [(0, "a b c"), (20, "a b c"), (40, "a b c"), (40, "other words"), (3, "a b c"), (None, "a b c"), (61, "far away"), (60, None)]
+    got = sorted(map(tuple, simhash.search_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == [(0, 0, 5, 0), (20, 0, 5, 0), (40, 0, 5, 0), (40, 40, 1, 0), (60, 60, 1, 0)]
+
+
 def test_edits_are_nearer_than_strangers():
     r = random.Random(1)
     words = ["".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(3000)]

@@ -65,7 +65,8 @@ def bare(word: str) -> str:
 
 
 def edits_allowed(entry: str) -> int:
-    """Short words take no edit, longer ones one or two; a stem takes them within its own letters."""
+    """Short words take no edit, longer ones one or two; a stem takes them within its own letters, in words that are no
+    shorter than it."""
     size = len(entry.rstrip("*"))
     return 0 if size < 5 else 1 if size < 9 else 2
 
@@ -104,18 +105,20 @@ class Lexicon:
                 self.stem[node], self.stem_room[node] = number, room
             else:
                 self.word[node], self.entry[node] = room, number
+        self.size = [len(e.rstrip("*")) for e in entries]
         self._begin()
 
     def _begin(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
-        self.best: list[tuple[int, int]] = []  # (edits, entry) of the nearest match if a word ends here
+        self.best: list[tuple[int, int]] = []  # (edits, entry) of the nearest whole word if a word ends here
+        self.stems: list[list[tuple[int, int, int]]] = []  # (edits, length, number) of the stems that were read
         self.moves: dict[tuple[int, str], int] = {}
         self.start = self._state({(0, 0, "")})
 
     def _state(self, items: set) -> int:
         """Adds what a missing letter leads to, drops what has no room left, and names the set."""
-        todo, kept, stems = [x for x in items if x[0] >= 0], set(), [(x[1], -1 - x[0]) for x in items if x[0] < 0]
+        todo, kept, stems = [x for x in items if x[0] >= 0], set(), {(x[1], self.size[-1 - x[0]], -1 - x[0]) for x in items if x[0] < 0}
         while todo:
             node, edits, owed = item = todo.pop()
             if item in kept or edits > self.room[node]:
@@ -124,16 +127,21 @@ class Lexicon:
             if not owed:
                 todo += [(child, edits + 1, "") for child in self.children[node].values()]
                 if edits <= self.stem_room[node]:
-                    stems.append((edits, self.stem[node]))
-        if stems:
-            edits, stem = min(stems)  # whatever follows, the stem matched; only what may have fewer edits goes on
-            kept = {x for x in kept if x[1] < edits} | {(-1 - stem, edits, "")}
+                    stems.add((edits, self.size[self.stem[node]], self.stem[node]))
+        if stems and not min(stems)[0]:
+            kept, stems = set(), {min(stems)}  # whatever follows, this stem is the nearest match
+        read = []
+        for x in sorted(stems):
+            if not read or x[1] < read[-1][1]:  # more edits only for a shorter stem
+                read.append(x)
+        kept |= {(-1 - number, edits, "") for edits, _, number in read}
         key = frozenset(kept)
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
-            done = [(edits, -1 - node if node < 0 else self.entry[node]) for node, edits, owed in key if node < 0 or not owed and edits <= self.word[node]]
+            done = [(edits, self.entry[node]) for node, edits, owed in key if node >= 0 and not owed and edits <= self.word[node]]
             self.best.append(min(done, default=(self.NONE, -1)))
+            self.stems.append(read)
         return self.ids[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -172,7 +180,8 @@ class Lexicon:
             state = to
             if not sets[state]:
                 return self.NONE, -1
-        return self.best[state]
+        own = next(((edits, number) for edits, size, number in self.stems[state] if not edits or len(word) >= size), None)
+        return own if own and own[0] <= self.best[state][0] else self.best[state]
 
 
 @dataclass(frozen=True)
