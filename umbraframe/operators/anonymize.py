@@ -161,3 +161,30 @@ def with_needed(df: DataFrame, id_col: str, group_col: str, text: Column, rows:
     found = need.join(rows.select(group_col, "key", "original").dropDuplicates([group_col, "key"]), [group_col, "key"])
     maps = found.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("key", "original"))).alias("originals"))
     return df.join(maps, id_col, "left").withColumn("originals", F.coalesce("originals", F.expr("cast(map() as map<string,string>)")))
+
+
+_PIECE = rf"{_WORD}+|[^\p{{L}}\p{{N}}_]"
+
+
+def _sequences(text: Column, most: int) -> Column:
+    """All sequences of up to `most` neighbouring pieces of a text (runs of word characters, and single other signs). Whatever
+    stands in the text as a whole is one of them."""
+    joined = lambda p, k: F.transform(F.sequence(F.lit(1), F.size(p) - k + 1), lambda i: F.array_join(F.slice(p, i, k), ""))
+    some = lambda p: F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(p))), lambda k: joined(p, k)))
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    return F.get(F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 0, F.array_distinct(some(p))).otherwise(F.expr("cast(array() as array<string>)"))), F.lit(0))
+
+
+def with_vault(df: DataFrame, id_col: str, text: Column, records: DataFrame) -> DataFrame:
+    """df with placeholders and synthetics: maps from the vault's keys that a text may hold to their originals. The vault is
+    joined by key, so neither it nor a map of it travels with the texts; of equal synthetic values the later record's counts."""
+    empty = F.expr("cast(map() as map<string,string>)")
+    own = records.select("placeholder", "synthetic_value", "original_text", "first_seq")
+    most = own.agg(F.max(F.size(F.regexp_extract_all("synthetic_value", F.lit(_PIECE), F.lit(0))))).first()[0] or 1
+    last = own.where("synthetic_value <> ''").groupBy(F.col("synthetic_value").alias("key")).agg(F.max_by("original_text", "first_seq").alias("original"))
+    kinds = {"placeholders": (candidate_keys(text), own.select(F.col("placeholder").alias("key"), F.col("original_text").alias("original"))), "synthetics": (_sequences(text, most), last)}
+    for name, (keys, rows) in kinds.items():
+        need = df.select(id_col, F.explode(keys).alias("key")).join(rows, "key")
+        maps = need.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("key", "original"))).alias(name))
+        df = df.join(maps, id_col, "left").withColumn(name, F.coalesce(name, empty))
+    return df

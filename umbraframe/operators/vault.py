@@ -1,6 +1,6 @@
 """Numbering, placeholders, synthetic values, the entity map of a conversation and the global vault.
 
-Inputs are mention rows: conv_id, seq (a long that orders all mentions), start, entity_type, text.
+Inputs are mention rows: conv_id, seq (unique, and what orders all mentions), start, entity_type, text.
 """
 
 from __future__ import annotations
@@ -10,24 +10,21 @@ from pyspark.sql import functions as F
 
 from umbraframe.functions import constants as C
 from umbraframe.functions import text as T
-
-#: Span of order values that one window numbers at once.
-STRIDE = 1 << 20
-
+from umbraframe.sources.state import stored as stored_frame
 
 def numbered(df: DataFrame, group: list[str], order: str, out: str = "n") -> DataFrame:
-    """1, 2, ... by a unique long within a group, without gathering a group in one task.
+    """1, 2, ... by a unique order within a group, without gathering a group in one task.
 
-    A group is cut by its order's stride; a window numbers each piece, and a sum over the few pieces' sizes, window by
-    group, gives where a piece begins.
+    Rows are dealt by ranges of group and order and stored, so that each knows its range. A window numbers the rows that a
+    group has in one range, and a sum over the sizes of a group's few ranges gives where each of them begins.
     """
-    df = df.withColumn("_stride", F.floor(F.col(order) / STRIDE))
-    within = Window.partitionBy(*group, "_stride").orderBy(order)
-    sizes = df.groupBy(*group, "_stride").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*group).orderBy("_stride").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.select(*group, "_stride", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    rows = df.withColumn("_n", F.row_number().over(within)).join(begins, [*group, "_stride"])
-    return rows.withColumn(out, F.col("_n") + F.col("_before")).drop("_n", "_before", "_stride")
+    placed = stored_frame(df.repartitionByRange(*group, order).withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy(*group, "_range").orderBy(order)
+    sizes = placed.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(*group, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    rows = placed.withColumn("_n", F.row_number().over(within)).join(begins, [*group, "_range"])
+    return rows.withColumn(out, F.col("_n") + F.col("_before")).drop("_n", "_before", "_range")
 
 
 def first_mentions(mentions: DataFrame, keys: list[str], *first: str) -> DataFrame:

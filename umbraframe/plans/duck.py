@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from umbraframe.functions import constants as C
-from umbraframe.plans.inputs import PROMPTS, TEXTS
+from umbraframe.plans.inputs import MOST_BYTES, PROMPTS, TEXTS
 
 TOKEN = r"[\p{L}\p{N}''\-]"
 
@@ -89,7 +89,7 @@ def detected(source: str, ner: bool = False) -> str:
 PROMPT_ROWS = f"(SELECT prompt_id AS id, text FROM ({PROMPTS}) pr)"
 TEXT_ROWS = f"(SELECT text_id AS id, text FROM ({TEXTS}) tx)"
 #: Mentions: detected and dictionary spans of all prompts, in order.
-MENTIONS = f"SELECT p.conv_id, m.id AS prompt_id, m.id * 1000000 + m.s AS seq, m.s, m.e, m.cs, m.ce, m.entity_type, m.score, m.source, m.t AS text FROM ({detected(PROMPT_ROWS, True)}) m JOIN ({PROMPTS}) p ON p.prompt_id = m.id"
+MENTIONS = f"SELECT p.conv_id, m.id AS prompt_id, m.id * {MOST_BYTES} + m.s AS seq, m.s, m.e, m.cs, m.ce, m.entity_type, m.score, m.source, m.t AS text FROM ({detected(PROMPT_ROWS, True)}) m JOIN ({PROMPTS}) p ON p.prompt_id = m.id"
 
 _PERSON = "[" + ", ".join(f"'{v}'" for v in C.POOLS["PERSON"]) + "]"
 

@@ -18,6 +18,19 @@ SELECT c_custkey AS prompt_id, c_custkey % 50 AS conv_id,
 FROM customer
 """
 
+#: A text has fewer bytes, so prompt * MOST_BYTES + offset orders and tells apart all places in all prompts.
+MOST_BYTES = 1 << 31
+
+#: Replies that name placeholders canonically, mangled, inside other words, and such as nobody knows.
+REPLIES = """
+SELECT c_custkey AS prompt_id, c_custkey % 50 AS conv_id, CASE c_custkey % 4
+  WHEN 0 THEN 'Dear person_1 and PERSON 2: [email_1], [PERSON_1, PERSON_2] or PERSON1; not GMAILEMAIL_1, PERSON_1A, [PERSON_99] nor PERSON_01. IBAN1 ok'
+  WHEN 1 THEN 'Hi PERSON_' || cast(1 + c_custkey % 3 AS string) || ', see [EMAIL ' || cast(1 + c_custkey % 5 AS string) || '] (email_' || cast(1 + c_custkey % 5 AS string) || ')!'
+  WHEN 2 THEN 'No [PERSON' || cast(1 + c_custkey % 3 AS string) || ' ] xPERSON_' || cast(1 + c_custkey % 3 AS string) || ' PERSON_' || cast(1 + c_custkey % 3 AS string) || '00 here; é iban_1.'
+  ELSE 'nothing to restore, ' || cast(c_custkey AS string) END AS reply
+FROM customer
+"""
+
 TEXTS = f"SELECT doc_id AS text_id, text FROM documents UNION ALL SELECT -1 - prompt_id AS text_id, text FROM ({PROMPTS}) prompts"
 
 _LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) lines"

@@ -6,7 +6,7 @@ from umbraframe.functions import constants as C
 from umbraframe.plans import duck
 from umbraframe.plans import queries as Q
 from umbraframe.plans.duck import MENTIONS, PROMPT_ROWS, TEXT_ROWS
-from umbraframe.plans.inputs import EXAMPLES, FEEDBACK, FOUND, GOLD, PROMPTS
+from umbraframe.plans.inputs import EXAMPLES, FEEDBACK, FOUND, GOLD, PROMPTS, REPLIES
 
 _SPAN = "s AS span_start, e AS span_end, entity_type, round(cast(score AS DOUBLE), 6) AS score, t AS span_text"
 DOCUMENT_ROWS = "(SELECT doc_id AS id, text FROM documents)"
@@ -98,9 +98,9 @@ ORACLES["anonymize_vault"] = f"SELECT prompt_id, anonymized FROM ({duck.anonymiz
 _OLD, _NEW = (duck.VAULT.replace(f"FROM ({MENTIONS}) m", f"FROM ({MENTIONS}) m WHERE conv_id {c}") for c in ("< 20", ">= 10"))
 ORACLES["vault_import"] = f"""SELECT entity_type, normalized_key, placeholder, usage_count FROM ({_OLD}) o UNION ALL
   SELECT entity_type, normalized_key, placeholder, usage_count FROM ({_NEW}) n WHERE (entity_type, normalized_key) NOT IN (SELECT (entity_type, normalized_key) FROM ({_OLD}) o)"""
-ORACLES["vault_recency"] = f"SELECT placeholder, last_seq, usage_count FROM ({duck.VAULT}) v ORDER BY last_seq DESC, placeholder LIMIT 25"
+ORACLES["vault_recency"] = f"SELECT placeholder, last_seq, usage_count FROM ({duck.VAULT}) v"
 ORACLES["preview_numbers"] = f"SELECT prompt_id AS doc_id, s AS span_start, '[' || entity_type || '_' || cast(row_number() OVER (PARTITION BY prompt_id, entity_type ORDER BY s) AS VARCHAR) || ']' AS placeholder FROM ({MENTIONS}) m"
-_USED = f"(SELECT DISTINCT m.conv_id, v.placeholder, v.synthetic_value, v.original_text FROM (SELECT *, {duck.KEY} AS normalized_key FROM ({MENTIONS}) x WHERE conv_id < 10) m JOIN ({duck.VAULT}) v USING (entity_type, normalized_key))"
+_USED = f"(SELECT DISTINCT m.conv_id, v.placeholder, v.synthetic_value, v.original_text FROM (SELECT *, {duck.KEY} AS normalized_key FROM ({MENTIONS}) x) m JOIN ({duck.VAULT}) v USING (entity_type, normalized_key))"
 ORACLES["augment_map"] = f"SELECT conv_id, placeholder AS key, original_text AS original FROM {_USED} u UNION ALL SELECT conv_id, synthetic_value, original_text FROM {_USED} u WHERE synthetic_value <> ''"
 
 ORACLES["restore_canonical"] = f"SELECT prompt_id, text AS restored FROM ({PROMPTS}) p"
@@ -108,18 +108,40 @@ ORACLES["round_trip"] = f"SELECT prompt_id, text AS restored, true AS had_placeh
 
 
 def _known(key: str, other: str) -> str:
-    return f"coalesce(max(original) FILTER (WHERE placeholder = '{key}'), '{other}')"
-
-
-_P1, _P2 = (lambda other: _known("[PERSON_1]", other)), (lambda other: _known("[PERSON_2]", other))
-_RESTORED = f"""'Dear ' || {_P1('person_1')} || ' and ' || {_P2('PERSON 2')} || ': ' || {_known('[EMAIL_1]', '[email_1]')} || ', ' || {_P1('[PERSON_1')} || ', ' || {_P2('PERSON_2]')} || ' or ' || {_P1('PERSON1')}
-  || '; not GMAILEMAIL_1, PERSON_1A, [PERSON_99] nor PERSON_01. ' || {_known('[IBAN_1]', 'IBAN1')} || ' ok'"""
-ORACLES["restore_variants"] = f"SELECT conv_id, {_RESTORED} AS restored FROM ({duck.ENTITY_MAP}) e GROUP BY conv_id"
-_COUNTED = " + ".join(f"{n} * count(*) FILTER (WHERE placeholder = '{k}')" for k, n in (("[PERSON_1]", 3), ("[PERSON_2]", 2), ("[EMAIL_1]", 1), ("[IBAN_1]", 1)))
-ORACLES["resolve_text"] = f"SELECT conv_id, {_RESTORED} AS restored, {_COUNTED} AS n_matches FROM ({duck.ENTITY_MAP}) e GROUP BY conv_id"
-_V = lambda key, column: f"max(original_text) FILTER (WHERE {column} = '{key}')"
-ORACLES["restore_vault"] = f"""SELECT {_V('Jordan Park', 'synthetic_value')} || ' (not XJordan Park or Jordan Parker) met ' || {_V('[PERSON_2]', 'placeholder')} || ' in ' || {_V('Springwood', 'synthetic_value')} || '; '
-  || {_V('jordan.park@example.com', 'synthetic_value')} || ' or ' || {_V('[EMAIL_2]', 'placeholder')} || ', ' || {_V('Jordan Park', 'synthetic_value')} || ' again, [PERSON_77]' AS restored, true AS reversible FROM ({duck.VAULT}) v"""
+    """What stands for a reply's spelling `other` of a placeholder `key`; both are SQL."""
+    return f"coalesce(max(e.original) FILTER (WHERE e.placeholder = {key}), {other})"
+
+
+def _used(key: str) -> str:
+    return f"count(*) FILTER (WHERE e.placeholder = {key})"
+
+
+_N, _M = "cast(1 + r.prompt_id % 3 AS VARCHAR)", "cast(1 + r.prompt_id % 5 AS VARCHAR)"
+_P, _E = f"'[PERSON_' || {_N} || ']'", f"'[EMAIL_' || {_M} || ']'"
+_ONE, _TWO, _MAIL, _ACCOUNT = "'[PERSON_1]'", "'[PERSON_2]'", "'[EMAIL_1]'", "'[IBAN_1]'"
+_SHAPES = [
+    (
+        f"""'Dear ' || {_known(_ONE, "'person_1'")} || ' and ' || {_known(_TWO, "'PERSON 2'")} || ': ' || {_known(_MAIL, "'[email_1]'")} || ', ' || {_known(_ONE, "'[PERSON_1'")} || ', ' || {_known(_TWO, "'PERSON_2]'")} || ' or ' || {_known(_ONE, "'PERSON1'")}
+          || '; not GMAILEMAIL_1, PERSON_1A, [PERSON_99] nor PERSON_01. ' || {_known(_ACCOUNT, "'IBAN1'")} || ' ok'""",
+        f"3 * {_used(_ONE)} + 2 * {_used(_TWO)} + {_used(_MAIL)} + {_used(_ACCOUNT)}",
+    ),
+    (
+        f"""'Hi ' || {_known(_P, f"'PERSON_' || {_N}")} || ', see ' || {_known(_E, f"'[EMAIL ' || {_M} || ']'")} || ' (' || {_known(_E, f"'email_' || {_M}")} || ')!'""",
+        f"{_used(_P)} + 2 * {_used(_E)}",
+    ),
+    (
+        f"""'No ' || {_known(_P, f"'[PERSON' || {_N}")} || ' ] xPERSON_' || {_N} || ' PERSON_' || {_N} || '00 here; é ' || {_known(_ACCOUNT, "'iban_1'")} || '.'""",
+        f"{_used(_P)} + {_used(_ACCOUNT)}",
+    ),
+    ("any_value(r.reply)", "0"),
+]
+_CASE = lambda k: "CASE r.prompt_id % 4 " + " ".join(f"WHEN {n} THEN {shape[k]}" for n, shape in enumerate(_SHAPES)) + " END"
+_ANSWERED = f"FROM ({REPLIES}) r LEFT JOIN ({duck.ENTITY_MAP}) e ON e.conv_id = r.conv_id GROUP BY r.prompt_id"
+ORACLES["restore_variants"] = f"SELECT r.prompt_id, {_CASE(0)} AS restored {_ANSWERED}"
+ORACLES["resolve_text"] = f"SELECT r.prompt_id, {_CASE(0)} AS restored, cast({_CASE(1)} AS BIGINT) AS n_matches {_ANSWERED}"
+# All synthetic numbers of this type begin with 900, so "ssn 900" reads as a mangled [SSN_900] where the vault has that one.
+ORACLES["restore_vault"] = f"""SELECT p.prompt_id, CASE WHEN s.synthetic_value IS NOT NULL AND o.original_text IS NOT NULL THEN replace(p.text, 'ssn ' || s.original_text, o.original_text || substr(s.synthetic_value, 4)) ELSE p.text END AS restored, true AS reversible
+  FROM ({PROMPTS}) p LEFT JOIN (SELECT * FROM ({duck.VAULT}) v WHERE entity_type = 'SSN') s ON s.original_text = regexp_extract(p.text, 'ssn ([0-9-]+)', 1) LEFT JOIN (SELECT * FROM ({duck.VAULT}) v WHERE placeholder = '[SSN_900]') o ON true"""
 
 _PAIRS = f"""(SELECT example_id, gold_index, found_index, g.entity_type AS gold_type, f.entity_type AS found_type, least(g.e, f.e) - greatest(g.s, f.s) AS overlap_bytes, (least(g.e, f.e) - greatest(g.s, f.s)) / greatest(g.e - g.s, 1) AS gold_coverage,
   (least(g.e, f.e) - greatest(g.s, f.s)) / greatest(f.e - f.s, 1) AS found_coverage, greatest(0, f.s - g.s, g.e - f.e) AS drift, abs(greatest(f.e - f.s, 1) - greatest(g.e - g.s, 1)) AS length_delta
@@ -165,7 +187,7 @@ ORACLES["dedupe_window"] = """SELECT user_id, "at", text FROM (SELECT user_id, (
 ORACLES["feedback_last_n"] = f"SELECT event_id, detected_type, corrected_type FROM ({FEEDBACK}) f ORDER BY event_id DESC LIMIT 1000"
 ORACLES["cancelled_results"] = """SELECT event_id, user_id FROM events r WHERE event_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_id % 3 = 0 AND c.user_id = r.user_id AND c.ts <= r.ts AND c.ts >= r.ts - INTERVAL 6 HOUR)"""
 ORACLES["text_offsets"] = "SELECT doc_id, cp, cast(strlen(substr(text, 1, cp)) AS BIGINT) AS byte_at, cp AS back, md5(substr(text, cp + 1)) AS rest FROM (SELECT doc_id, text, cast(length(text) // 2 AS BIGINT) AS cp FROM documents) d"
-ORACLES["anonymized_replies"] = r"""SELECT conv_id, turn, regexp_matches(text, '\[?[A-Z]{2,}[A-Z_]*[_ ]?\d+\]?') AS gate, lower(regexp_replace(regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS key,
+ORACLES["anonymized_replies"] = r"""SELECT conv_id, turn, regexp_matches(text, '\[?[A-Z]{2,}[A-Z_]*[_ ]?\d+\]?') AS gate, md5(lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))) AS key,
   CASE WHEN length(h) > 30 THEN substr(h, 1, 27) || '...' ELSE h END AS shown FROM (SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS h FROM conversations WHERE role = 'assistant' AND length(text) >= 10) c"""
 
 _TIERED = f"(SELECT *, CASE WHEN gb IS NULL OR gb <= 0 THEN 'unknown' WHEN gb <= 2 THEN 'critical' WHEN gb <= 4 THEN 'warning' ELSE 'ok' END AS tier FROM ({Q._HOSTS}) h)"

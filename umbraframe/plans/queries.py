@@ -84,7 +84,7 @@ def _with_ner(spark, sf_dir) -> DataFrame:
 
 def _mentions(spark, sf_dir) -> DataFrame:
     rows = detect.exploded(_with_ner(spark, sf_dir), "conv_id", "prompt_id")
-    return stored(rows.withColumn("seq", F.col("prompt_id") * 1_000_000 + F.col("start")))
+    return stored(rows.withColumn("seq", F.col("prompt_id") * inputs.MOST_BYTES + F.col("start")))
 
 
 def ner_dictionary(spark, sf_dir):
@@ -230,12 +230,15 @@ def synthetic_values(spark, sf_dir):
     return rows.select("entity_type", F.col("i").cast("bigint").alias("i"), vault.synthetic(F.col("entity_type"), F.col("i")).alias("value"))
 
 
+def _under_vault(spark, sf_dir, mentions: DataFrame, records: DataFrame) -> DataFrame:
+    tokens = records.select("entity_type", "normalized_key", vault.active_replacement(F.col("placeholder"), F.col("synthetic_value"), F.col("replacement_mode")).alias("token"))
+    used = mentions.withColumn("normalized_key", T.normal_key(F.col("text"))).join(tokens, ["entity_type", "normalized_key"])
+    return anonymize.anonymized(inputs.prompts(spark, sf_dir), used.select("prompt_id", "start", "end", "token"), "prompt_id").select("prompt_id", "anonymized")
+
+
 def anonymize_vault(spark, sf_dir):
-    mentions = _mentions(spark, sf_dir).withColumn("normalized_key", T.normal_key(F.col("text")))
-    records = vault.vault(mentions, mode="synthetic")
-    records = records.select("entity_type", "normalized_key", vault.active_replacement(F.col("placeholder"), F.col("synthetic_value"), F.col("replacement_mode")).alias("token"))
-    tokens = mentions.join(records, ["entity_type", "normalized_key"]).select("prompt_id", "start", "end", "token")
-    return anonymize.anonymized(inputs.prompts(spark, sf_dir), tokens, "prompt_id").select("prompt_id", "anonymized")
+    mentions = _mentions(spark, sf_dir)
+    return _under_vault(spark, sf_dir, mentions, vault.vault(mentions, mode="synthetic"))
 
 
 def vault_import(spark, sf_dir):
@@ -276,33 +279,28 @@ def restore_canonical(spark, sf_dir):
 
 
 def _replies(spark, sf_dir) -> DataFrame:
-    df = inputs.prompts(spark, sf_dir).select("conv_id").distinct()
-    rows = vault.entity_map(_mentions(spark, sf_dir)).withColumnRenamed("placeholder", "key").withColumn("group", F.col("conv_id"))
-    return anonymize.with_needed(df.withColumn("group", F.col("conv_id")), "conv_id", "group", F.lit(REPLY), rows.drop("conv_id"))
-
-
-REPLY = "Dear person_1 and PERSON 2: [email_1], [PERSON_1, PERSON_2] or PERSON1; not GMAILEMAIL_1, PERSON_1A, [PERSON_99] nor PERSON_01. IBAN1 ok"
+    """A reply to every prompt, which names placeholders in many forms, with the part of its conversation's map that it needs."""
+    df = inputs.derived(spark, sf_dir, inputs.REPLIES)
+    rows = vault.entity_map(_mentions(spark, sf_dir)).withColumnRenamed("placeholder", "key")
+    return anonymize.with_needed(df, "prompt_id", "conv_id", F.col("reply"), rows)
 
 
 def restore_variants(spark, sf_dir):
-    return _replies(spark, sf_dir).select("conv_id", anonymize.restored(F.lit(REPLY), F.col("originals")).alias("restored"))
+    return _replies(spark, sf_dir).select("prompt_id", anonymize.restored(F.col("reply"), F.col("originals")).alias("restored"))
 
 
 def resolve_text(spark, sf_dir):
-    df = _replies(spark, sf_dir).select("conv_id", anonymize.resolved(F.lit(REPLY), F.col("originals")).alias("r"))
-    return df.select("conv_id", F.col("r.text").alias("restored"), F.size("r.matches").cast("bigint").alias("n_matches"))
-
-
-VAULT_REPLY = "Jordan Park (not XJordan Park or Jordan Parker) met person_2 in Springwood; jordan.park@example.com or [EMAIL_2], Jordan Park again, [PERSON_77]"
+    df = _replies(spark, sf_dir).select("prompt_id", anonymize.resolved(F.col("reply"), F.col("originals")).alias("r"))
+    return df.select("prompt_id", F.col("r.text").alias("restored"), F.size("r.matches").cast("bigint").alias("n_matches"))
 
 
 def restore_vault(spark, sf_dir):
-    """The first records of the vault, as one map for each kind of key."""
-    records = stored(vault.vault(_mentions(spark, sf_dir)))
-    few = records.where(T.parsed_placeholder(F.col("placeholder"))[1] <= 3)
-    pairs = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k), F.col("original_text")))))
-    maps = few.agg(pairs("placeholder").alias("p")).join(few.where("synthetic_value <> ''").agg(pairs("synthetic_value").alias("s")))
-    return maps.select(anonymize.restored_with_vault(F.lit(VAULT_REPLY), F.col("p"), F.col("s")).alias("restored"), anonymize.has_reversible(F.lit(VAULT_REPLY), F.map_concat("p", "s")).alias("reversible"))
+    """Prompts as they went out under the vault (synthetic values, and placeholders where a type has none), restored."""
+    mentions = _mentions(spark, sf_dir)
+    records = stored(vault.vault(mentions, mode="synthetic"))
+    df = anonymize.with_vault(_under_vault(spark, sf_dir, mentions, records), "prompt_id", F.col("anonymized"), records)
+    text, maps = F.col("anonymized"), (F.col("placeholders"), F.col("synthetics"))
+    return df.select("prompt_id", anonymize.restored_with_vault(text, *maps).alias("restored"), anonymize.has_reversible(text, F.map_concat(*maps)).alias("reversible"))
 
 
 def round_trip(spark, sf_dir):
@@ -420,9 +418,9 @@ def text_offsets(spark, sf_dir):
 
 
 def anonymized_replies(spark, sf_dir):
-    """Assistant turns by whether they may hold a placeholder, and normal keys of their first words."""
+    """Assistant turns by whether they may hold a placeholder, and digests of their normal keys."""
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant' and length(text) >= 10")
-    return df.select("conv_id", "turn", anonymize.may_have_placeholder(F.col("text")).alias("gate"), T.normal_key(F.substring("text", 1, 40)).alias("key"), T.truncated(T.escape_html(F.col("text")), 30).alias("shown"))
+    return df.select("conv_id", "turn", anonymize.may_have_placeholder(F.col("text")).alias("gate"), F.md5(T.normal_key(F.col("text"))).alias("key"), T.truncated(T.escape_html(F.col("text")), 30).alias("shown"))
 
 
 _HOSTS = """
