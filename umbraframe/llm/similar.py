@@ -7,9 +7,13 @@ candidates also share one of BANDS keys, each a hash of ROWS minhashes: a pair o
 probability of (1 - 0.8 ** ROWS) ** BANDS, two in a million. Each candidate pair, whichever way it came, is verified by the
 Jaccard similarity of the whole sets, and components of the verified pairs are the groups.
 
-A bucket of up to BUCKET classes gives all its pairs. A larger one is settled in rounds: some members, dealt by hash and
-more of them each round, meet all others, and leave the bucket; the rest goes on while it lies in several components. So
-a bucket of near copies costs a few rows for each member, and no pair that could join two components is left out.
+Pairs are tried in rounds, so that a group of near copies costs a few pairs for each member and not all pairs. First every class
+meets the least class that shares a key with it. Then, as long as a bucket (the classes of a key) lies in several components, its
+members meet some of its members, dealt by hash and more of them each round, and these leave the bucket; a bucket of up to BUCKET
+members gives all its pairs. Only pairs across components are tried, as others can't join any, and a pair is tried once. So no
+pair that could join two components is left out.
+
+A class that very many others meet is spread: its text goes to as many groups as SPREAD of them need.
 """
 
 from __future__ import annotations
@@ -17,16 +21,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import cut, cut_round, map_batches, record_batch, texts_of
+from umbraframe.llm.common import cut, cut_round, map_batches, partitions_for, record_batch, texts_of
 from umbraframe.llm.components import components
 from umbraframe.llm.neardedup import first_of_each, links, majority, marked, shingle_hashes
 
 SHINGLE, SIMILAR = 5, (4, 5)  # similarity as a fraction, 0.8
 BANDS, ROWS = 25, 4
-BUCKET = 128
+#: Members of a bucket up to which all its pairs are tried at once, and classes that meet one text in one group.
+BUCKET, SPREAD = 24, 500
 _A, _B = np.random.default_rng(5).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
 _A |= np.uint64(1)
 
@@ -66,33 +72,49 @@ def _signed(batches):
         })
 
 
-def _sets(batches):
-    """The sets of classes from the texts of one row each."""
+def _packed(batches):
+    """Texts of classes, compressed: they are shorter than their sets."""
+    pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield record_batch({"fp": batch.column("fp"), "own": pa.array([shingles(t).tobytes() for t in texts_of(batch)], pa.binary())})
+        yield record_batch({"fp": batch.column("fp"), "own": pa.array([pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch)], pa.binary())})
 
 
 def _verified(batches):
+    """Pairs (a, b) that are similar; rows of one b mostly come one after the other."""
+    unpack = zstandard.ZstdDecompressor()
+    set_of = lambda x: shingles(unpack.decompress(x).decode("utf-8", "surrogatepass"))
+    last, held = None, np.zeros(0, np.uint64)
     for batch in batches:
-        a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("own", "other"))
-        yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
+        found = []
+        for b, own, other in zip(*(batch.column(c).to_pylist() for c in ("b", "own", "other")), strict=True):
+            if b != last:
+                last, held = b, set_of(other)
+            found.append(similar(set_of(own), held))
+        yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
-def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a bucket; those whose sizes rule similarity out are left out."""
-    pairs = left.select("key", F.col("fp").alias("x"), F.col("n").alias("nx")).join(right.select("key", F.col("fp").alias("y"), F.col("n").alias("ny")), "key")
-    near = F.least("nx", "ny") * SIMILAR[1] >= F.greatest("nx", "ny") * SIMILAR[0]
-    return pairs.where((F.col("x") != F.col("y")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _golay_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, groups) of classes whose SimHash fingerprints are linked by their Golay keys, or are equal; one class
+    stands for all of a fingerprint."""
+    groups = F.ceil(F.count(F.lit(1)) / SPREAD)
+    stands = cut(classes.where("n > 0").groupBy("simhash").agg(F.min("fp").alias("fp"), groups.alias("groups")))
+    left, right = stands.select(F.col("simhash").alias("a"), F.col("fp").alias("x")), stands.select(F.col("simhash").alias("b"), F.col("fp").alias("y"))
+    linked = links(stands.select(F.col("simhash").alias("fp"))).join(left, "a").join(right, "b").select("x", "y", F.lit(1).cast("bigint").alias("groups"))
+    equal = classes.where("n > 0").select("simhash", F.col("fp").alias("x")).join(stands.withColumnRenamed("fp", "y"), "simhash").select("x", "y", "groups")
+    return linked.unionByName(equal).where("x <> y").toDF("a", "b", "groups")
 
 
-def _golay_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose SimHash fingerprints are linked by their Golay keys, or are equal; one class stands for
-    all of a fingerprint."""
-    stands = cut(classes.where("n > 0").groupBy("simhash").agg(F.min("fp").alias("fp")))
-    left, right = stands.toDF("a", "x"), stands.toDF("b", "y")
-    linked = links(stands.select(F.col("simhash").alias("fp"))).join(left, "a").join(right, "b").select("x", "y")
-    equal = classes.where("n > 0").join(stands.withColumnRenamed("fp", "x"), "simhash").select("x", F.col("fp").alias("y")).where("x <> y")
-    return linked.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _near_sizes(n: str, other: str):
+    return F.least(n, other) * SIMILAR[1] >= F.greatest(n, other) * SIMILAR[0]
+
+
+def _similar_pairs(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, groups) that are similar. `groups` says over how many groups the ones that meet b are spread."""
+    widest = pairs.groupBy("b").agg(F.max("groups").alias("groups"))
+    spread = pairs.groupBy("a", "b").agg(F.max("groups").alias("groups")).select("a", "b", F.pmod(F.xxhash64("a"), "groups").alias("share"))
+    left = spread.join(packed.withColumnRenamed("fp", "a"), "a")
+    right = widest.join(packed.toDF("b", "other"), "b").select("b", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("share"))
+    return map_batches(left.join(right, ["b", "share"]).select("a", "b", "own", "other"), _verified, "a bigint, b bigint")
 
 
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -104,31 +126,37 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     one = F.min_by(F.struct("mark", "n", "simhash", "keys"), F.struct("id", "mark"))
     classes = cut(signed.groupBy("fp").agg(F.min("id").alias("rep"), one.alias("one")).select("fp", "rep", "one.*"))
     keyed = classes.select("fp", "n", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut_round(keyed.join(counts, "key").select("key", "fp", "n", "size"))
-    golay = cut(_golay_pairs(classes))
-    asked = classes.select("fp", F.col("rep").alias("id"), "mark").join(members.select("fp").unionAll(golay.select("a")).unionAll(golay.select("b")).distinct(), "fp")
-    sets = cut(map_batches(texts.join(asked, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("fp", "text"), _sets, "fp bigint, own binary"))
-    edges, roots, pivots = None, None, 8
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("fp", "n")).alias("least")).where("size > 1")
+    members = cut_round(keyed.join(buckets, "key").select("key", "fp", "n", "size", F.col("least.fp").alias("b"), F.col("least.n").alias("bn")))
+    first = members.where((F.col("fp") != F.col("b")) & _near_sizes("n", "bn")).groupBy(F.col("fp").alias("a")).agg(F.min(F.struct("b", F.ceil(F.col("size") / SPREAD).alias("groups"))).alias("x"))
+    pairs = cut_round(first.select("a", "x.b", "x.groups").unionByName(_golay_pairs(classes)))
+    asked = members.select("fp").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
+    asked = classes.select("fp", F.col("rep").alias("id"), "mark").join(asked, "fp")
+    wanted = texts.join(asked, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("fp", "text")
+    packed = cut(map_batches(wanted, _packed, "fp bigint, own binary").repartition(partitions_for(documents.sparkSession), "fp"))
+    members, tried, edges, pivots = members.select("key", "fp", "n"), None, None, 2
     while True:
-        small, large = members.where(F.col("size") <= bucket), members.where(F.col("size") > bucket)
-        # Some members of each large bucket: the smallest of each share by hash, so that partial minima do the work.
-        chosen = cut(large.groupBy("key", F.pmod(F.xxhash64("fp"), F.lit(pivots)).alias("share")).agg(F.min(F.struct("fp", "n")).alias("p")).select("key", "p.fp", "p.n"))
-        pairs = _met(small, small).unionByName(_met(large, chosen))
-        pairs = cut((pairs if edges is not None else pairs.unionByName(golay)).distinct())
-        own, other = sets.select(F.col("fp").alias("a"), "own"), sets.select(F.col("fp").alias("b"), F.col("own").alias("other"))
-        found = map_batches(pairs.join(own, "a").join(other, "b").select("a", "b", "own", "other"), _verified, "a bigint, b bigint").distinct()
+        found = _similar_pairs(pairs, packed)
         edges = cut_round(found if edges is None else edges.unionByName(found).distinct())
-        roots = cut(components(edges))
-        if large.isEmpty():
-            break
-        rest = large.join(chosen.select("key", "fp"), ["key", "fp"], "left_anti").join(roots, F.col("fp") == F.col("node"), "left")
-        rest = cut(rest.select("key", "fp", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNull().alias("alone")))
-        open_keys = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "root")).alias("low"), F.max(F.struct("alone", "root")).alias("high"))
-        members = cut_round(rest.join(open_keys.where("low <> high").select("key", "size"), "key").select("key", "fp", "n", "size"))
-        if members.isEmpty():
+        roots = cut_round(components(edges))
+        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tried = cut_round((once if tried is None else tried.unionByName(once)).distinct())
+        rest = members.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        rest = cut_round(rest.join(several.select("key", "size"), "key").select("key", "fp", "n", "root", "size"))
+        if rest.isEmpty():
             break
-        pivots *= 16
+        # Some members of each large bucket: the least of each share by hash, so that partial minima do the work.
+        share, own = F.pmod(F.xxhash64("fp"), F.lit(pivots)).alias("share"), F.min(F.struct("fp", "n", "root")).alias("p")
+        some = rest.where(F.col("size") > bucket).groupBy("key", share).agg(own).select("key", "p.*")
+        chosen = cut_round(rest.where(F.col("size") <= bucket).select("key", "fp", "n", "root").unionByName(some)).toDF("key", "b", "bn", "broot")
+        across = (F.col("root") != F.col("broot")) & _near_sizes("n", "bn")
+        # A pair of two chosen ones comes both ways round: the greater class is a.
+        met = rest.join(chosen, "key").where(across & ((F.col("size") > bucket) | (F.col("fp") > F.col("b"))))
+        new = met.groupBy(F.col("fp").alias("a"), "b").agg(F.max(F.ceil(F.col("size") / SPREAD)).alias("groups"))
+        pairs = cut_round(new.join(tried.toDF("low", "high"), (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti"))
+        members = cut_round(rest.join(chosen.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp", "n"))
+        pivots *= 8
     rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return signed.select("id", "mark", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "mark", "component_id")
