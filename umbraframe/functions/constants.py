@@ -173,3 +173,14 @@ POOLS = {
     "BANK_ACCOUNT": ["9999 0001 2345 6701", "9999 0001 9876 5432", "9999 0002 1357 9024"],
 }
 EMAIL_DOMAINS = ["example.com", "example.org", "example.net"]
+
+# What a page says of a host, by rule: tone, title, detail.
+RESOURCE_SUMMARIES = {
+    "failed": ("critical", "Local AI failed to load", "Pattern detection remains active. Retry from Local AI settings."),
+    "protected": ("critical", "Low memory protection mode", "Local AI is off because browser-reported memory is {memory} (critical). Pattern detection remains active."),
+    "overridden": ("critical", "Local AI enabled despite low memory", "Browser-reported memory is {memory} (critical). Local AI may slow or freeze this browser."),
+    "off": ("info", "Local AI detection off", "Pattern detection remains active. Names, organizations, locations, and context-only PII may be missed."),
+    "on_cpu": ("warning", "Local AI is running on CPU", "WebGPU was not used. Detection may be slower than usual."),
+    "tight": ("warning", "Local AI may be resource-intensive", "Browser-reported memory is {memory} (between 2 GB and 4 GB). Watch for slowdowns while Local AI is on."),
+    "uncertain": ("warning", "Compatibility uncertain", "Browser-reported memory is unavailable, so Local AI compatibility could not be fully assessed."),
+}

@@ -118,6 +118,19 @@ def context_around(text: Column, found: Column, width: int, mark: str = "") -> C
     return F.when(at > 0, cut)
 
 
+def compact_context(text: Column, found: Column, width: int) -> Column:
+    """`width` code points on both sides of the first occurrence, white space collapsed, "..." for what is cut off; without an
+    occurrence the text's beginning."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    whole = context_around(plain(text), F.nullif(plain(found), F.lit("")), width, "...")
+    return F.coalesce(whole, truncated(plain(text), 2 * width))
+
+
+def long_enough(text: Column, least: int = 10) -> Column:
+    """Whether a text has so many UTF-16 units."""
+    return F.length(text) + F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", "")) >= least
+
+
 def truncated(value: Column, most: int, mark: str = "...") -> Column:
     return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most - len(mark)), F.lit(mark))).otherwise(value)
 

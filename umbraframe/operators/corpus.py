@@ -42,6 +42,22 @@ def gold_spans(text: Column, mask: Column) -> Column:
     return F.sort_array(usable)
 
 
+RAW_SPAN = "struct<start:int,end:int,value:string,label:string>"
+
+
+def source_spans(mask: Column, labels: Column) -> Column:
+    """Raw spans of either kind as one: `mask` objects with any of the names that are in use (the first that is there and not
+    empty), or `labels` tuples of start, end, label and value."""
+
+    def text(*names: Column) -> Column:
+        return F.coalesce(*[F.nullif(n, F.lit("")) for n in names])
+
+    named = F.transform(mask, lambda m: F.struct(F.coalesce(m["start"], m["start_offset"]).alias("start"), F.coalesce(m["end"], m["end_offset"]).alias("end"), text(m["value"], m["text"]).alias("value"), text(m["label"], m["entity_type"], m["type"]).alias("label")))
+    at = lambda t, k: F.get(t, F.lit(k))
+    tuples = F.transform(labels, lambda t: F.struct(at(t, 0).try_cast("int").alias("start"), at(t, 1).try_cast("int").alias("end"), text(at(t, 3)).alias("value"), text(at(t, 2)).alias("label")))
+    return F.coalesce(named, tuples, F.expr(f"cast(array() as array<{RAW_SPAN}>)"))
+
+
 def examples(raw: DataFrame) -> DataFrame:
     """Records (id, language, source_text, privacy_mask, source_file, source_row) to examples; those without text or of
     other languages go."""

@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from umbraframe.functions import constants as C
+
 # Gigabytes up to which memory is critical, and up to which it is a warning.
 CRITICAL_GB, WARNING_GB = 2, 4
 RECOMMENDATIONS = {"critical": "auto-disable-local-ai", "warning": "warn", "unknown": "warn", "ok": "none"}
@@ -43,16 +45,20 @@ def chip_reason(state: Column, tier: Column, modal: Column, ready_on_cpu: Column
     ])
 
 
-def resource_summary(provider: Column, state: Column, tier: Column, ready_on_cpu: Column) -> Column:
-    """struct<tone,title>, or null where there is nothing to say."""
+def resource_summary(provider: Column, state: Column, tier: Column, ready_on_cpu: Column, gb: Column) -> Column:
+    """struct<tone,title,detail>, or null where there is nothing to say."""
+    memory = F.when(gb.isNull(), "unavailable").otherwise(F.concat(F.when(gb == F.floor(gb), F.floor(gb).cast("string")).otherwise(gb.cast("string")), F.lit(" GB")))
     off = (provider == "off") | (state == "off-user-choice")
-    rules = [
-        (provider.isNull() | state.isNull(), None), (state == "off-load-failure", "critical:Local AI failed to load"), (state == "off-low-memory-auto", "critical:Low memory protection mode"),
-        (state == "enabled-low-memory-override", "critical:Local AI enabled despite low memory"), (off, "info:Local AI detection off"), (ready_on_cpu, "warning:Local AI is running on CPU"),
-        (tier == "warning", "warning:Local AI may be resource-intensive"), (tier == "unknown", "warning:Compatibility uncertain"),
-    ]
-    both = _first(rules)
-    return F.when(both.isNotNull(), F.struct(F.split_part(both, F.lit(":"), F.lit(1)).alias("tone"), F.split_part(both, F.lit(":"), F.lit(2)).alias("title")))
+    rules = {
+        "failed": state == "off-load-failure", "protected": state == "off-low-memory-auto", "overridden": state == "enabled-low-memory-override",
+        "off": off, "on_cpu": ready_on_cpu, "tight": tier == "warning", "uncertain": tier == "unknown",
+    }
+    out = F.lit(None).cast("struct<tone:string,title:string,detail:string>")
+    for name, holds in reversed(rules.items()):
+        tone, title, detail = C.RESOURCE_SUMMARIES[name]
+        said = F.struct(F.lit(tone).alias("tone"), F.lit(title).alias("title"), F.replace(F.lit(detail), F.lit("{memory}"), memory).alias("detail"))
+        out = F.when(F.coalesce(holds, F.lit(False)), said).otherwise(out)
+    return F.when(provider.isNotNull() & state.isNotNull(), out)
 
 
 def supported(url: Column, prefixes: list[str]) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from umbraframe.functions import constants as C
 from umbraframe.functions import text as T
 from umbraframe.operators.detect import no_spans, span
+from umbraframe.sources.state import stored
 
 
 def dictionary_spans(text: Column, entries: list[tuple[str, str, float]] = C.DICTIONARY) -> Column:
@@ -170,6 +172,36 @@ def chunks(df: DataFrame, id_col: str, text_col: str = "text", most: int = 5000,
     return df.select(id_col, F.posexplode(cut(F.col(text_col))).alias("chunk", "c")).select(id_col, "chunk", "c.*")
 
 
+def chunk_spans(text: Column, items: Column) -> Column:
+    """Items of one chunk to spans: ranges, stitching, growth."""
+    spans = F.transform(ranges(text, items), lambda r: span(T.byte_offset(text, r["start"]), T.byte_offset(text, r["end"]), r["entity_type"], r["score"], F.substring(text, r["start"] + 1, r["end"] - r["start"]), F.lit("ner")))
+    return expanded(text, stitched(text, spans))
+
+
+def detected(df: DataFrame, id_col: str, infer: Callable[[DataFrame], DataFrame], model: str = "ai4privacy", most: int = 5000, overlap: int = 256) -> DataFrame:
+    """(id, spans) of texts of any length: chunks, a model's items for each (`infer` adds the column items to the chunks), spans,
+    the chunks' places, the better of overlapping ones, and the model's gate. Documents without spans have no row."""
+    found = infer(chunks(df, id_col, most=most, overlap=overlap))
+    own = found.select(id_col, F.explode(shifted(chunk_spans(F.col("text"), F.col("items")), F.col("start_byte"))).alias("s"))
+    whole = own.groupBy(id_col).agg(best_of_overlaps(F.array_distinct(F.collect_list("s"))).alias("spans"))
+    return whole.select(id_col, F.filter("spans", lambda s: s["score"] >= gate(F.lit(model), s["entity_type"])).alias("spans"))
+
+
+def provided(df: DataFrame, id_col: str, mode: str, models: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """df with external: named-entity spans by mode. off: none; fixture: the dictionary; transformers: the first of the models
+    (name -> infer) that works, in order, and none if all fail, so that patterns alone are left."""
+    if mode == "fixture":
+        return df.withColumn("external", dictionary_spans(F.col("text")))
+    for name, infer in (models or {}).items() if mode == "transformers" else ():
+        try:
+            spans = stored(detected(df, id_col, infer, name)).withColumnRenamed("spans", "external")
+        except Exception as error:  # a model that can't be loaded, whatever it says
+            logging.getLogger(__name__).warning("model %s failed: %s", name, error)
+            continue
+        return df.join(spans, id_col, "left").withColumn("external", F.coalesce("external", no_spans()))
+    return df.withColumn("external", no_spans())
+
+
 def shifted(spans: Column, by: Column) -> Column:
     """A chunk's spans in the document's offsets."""
     return F.transform(spans, lambda s: span(s["start"] + by, s["end"] + by, s["entity_type"], s["score"], s["text"], s["source"]))

@@ -49,6 +49,11 @@ def manual_span(text: Column, selected: Column, entity_type: Column) -> Column:
     return F.when((F.length(selected) > 0) & (at > 0), span(start, start + T.byte_length(selected), entity_type, F.lit(1.0), selected, F.lit("manual")))
 
 
+def approved(spans: Column, enabled, manual: Column) -> Column:
+    """What a reviewer sends on: the spans that are on, and the manual ones, by start."""
+    return F.sort_array(F.concat(F.filter(spans, enabled), F.filter(manual, lambda m: m.isNotNull())))
+
+
 def retyped(spans: Column, types: Column) -> Column:
     """Spans whose place (number) is in the map get the type given there."""
     return F.transform(spans, lambda s, i: span(s["start"], s["end"], F.coalesce(F.try_element_at(types, i), s["entity_type"]), s["score"], s["text"], s["source"]))

@@ -161,6 +161,11 @@ def overlay_enabled(s: Column, slider: float, chosen: Column | None = None, **mo
     return F.coalesce(chosen, by_rule) if chosen is not None else by_rule
 
 
+def feedback_counts(feedback: DataFrame, allow: list[str]) -> DataFrame:
+    """One row: how many entries the log has, how many patterns are ignored, and none pending."""
+    return feedback.agg(F.count(F.lit(1)).alias("confirmed")).select("confirmed", F.lit(len(allow)).cast("bigint").alias("ignored"), F.lit(0).cast("bigint").alias("pending"))
+
+
 def list_conflicts(allow: DataFrame, block: DataFrame) -> DataFrame:
     """Patterns that stand on both lists, by normal form."""
     key = lambda df, name: df.select(T.normal_key(F.col("pattern")).alias("key"), F.col("pattern").alias(name))

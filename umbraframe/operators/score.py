@@ -71,19 +71,19 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 
 
-def metrics(rows: DataFrame, *by: str) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 (0 without a denominator) by the given columns."""
+def metrics(rows: DataFrame, *by: str, accuracy: bool = False) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 (0 without a denominator) by the given columns, in one aggregation; on request also the
+    share of matches whose type is right."""
+    more = [F.coalesce(F.avg(F.col("type_correct").cast("double")), F.lit(0.0)).alias("type_accuracy")] if accuracy else []
     n = lambda o: F.count_if(F.col("outcome") == o)
-    counts = rows.groupBy(*by).agg(n("tp").alias("tp"), n("fp").alias("fp"), n("fn").alias("fn"))
+    counts = rows.groupBy(*by).agg(n("tp").alias("tp"), n("fp").alias("fp"), n("fn").alias("fn"), *more)
     p, r = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return counts.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
 def headline(rows: DataFrame) -> DataFrame:
     """One row; also the share of matches whose type is right."""
-    own = rows.where("kind = 'headline'")
-    accuracy = own.agg(F.coalesce(F.avg(F.col("type_correct").cast("double")), F.lit(0.0)).alias("type_accuracy"))
-    return metrics(own).join(accuracy)
+    return metrics(rows.where("kind = 'headline'"), accuracy=True)
 
 
 def by_type(rows: DataFrame) -> DataFrame:
@@ -114,6 +114,20 @@ def latency(df: DataFrame, ms: str) -> DataFrame:
     return out.select("count", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in out.columns[1:]])
 
 
+def by_example(examples: DataFrame, gold: DataFrame, found: DataFrame, matched: DataFrame) -> DataFrame:
+    """Each example with the lists gold, found, matches, missed and wrong, empty where there are none. An example has few spans."""
+    lists = {
+        "gold": (gold, ["gold_index", "start", "end", "entity_type"]), "found": (found, ["found_index", "start", "end", "entity_type"]), "matches": (matched, ["gold_index", "found_index", "type_correct"]),
+        "missed": (gold.join(matched, ["example_id", "gold_index"], "left_anti"), ["gold_index", "entity_type"]), "wrong": (found.join(matched, ["example_id", "found_index"], "left_anti"), ["found_index", "entity_type"]),
+    }
+    out = examples
+    for name, (df, columns) in lists.items():
+        rows = df.groupBy("example_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(rows, "example_id", "left")
+        out = out.withColumn(name, F.coalesce(name, F.filter(name, lambda x: F.lit(False)), F.from_json(F.lit("[]"), out.schema[name].dataType)))
+    return out
+
+
 def report_text(name: str, row: dict, types: list[dict], timing: dict) -> str:
     """The report's fixed layout, from collected aggregates: percentages with one decimal, numbers with up to three."""
     number = lambda v: f"{v:.3f}".rstrip("0").rstrip(".")

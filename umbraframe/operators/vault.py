@@ -130,6 +130,35 @@ def without_unpinned(records: DataFrame) -> DataFrame:
     return records.where("pinned")
 
 
+def deleted(records: DataFrame, placeholders: DataFrame) -> DataFrame:
+    """Records without those that a table (placeholder) names."""
+    return records.join(placeholders.select("placeholder"), "placeholder", "left_anti").select(*records.columns)
+
+
+def preview(mentions: DataFrame, records: DataFrame, pass_col: str, mode: str = "placeholder") -> DataFrame:
+    """What each mention (pass, seq, entity_type, text) would be replaced by, without changing the vault: a known key has its
+    record's replacement; a new one gets the next number of its type behind the vault's, counted anew in each pass."""
+    keyed = mentions.withColumn("normalized_key", T.normal_key(F.col("text")))
+    known = records.select("entity_type", "normalized_key", active_replacement(F.col("placeholder"), F.col("synthetic_value"), F.col("replacement_mode")).alias("known"))
+    keyed = keyed.join(known, ["entity_type", "normalized_key"], "left")
+    new = keyed.where("known is null").groupBy(pass_col, "entity_type", "normalized_key").agg(F.min("seq").alias("first_seq"))
+    new = numbered(new, [pass_col, "entity_type"], "first_seq").join(F.broadcast(counters(records)), "entity_type", "left")
+    n = F.col("n") + F.coalesce("used", F.lit(0))
+    shown = active_replacement(T.placeholder(F.col("entity_type"), n), synthetic(F.col("entity_type"), n - 1), F.lit(mode))
+    new = new.select(pass_col, "entity_type", "normalized_key", shown.alias("new"))
+    return keyed.join(new, [pass_col, "entity_type", "normalized_key"], "left").withColumn("replacement", F.coalesce("known", "new")).drop("known", "new", "normalized_key")
+
+
+def external_map(events: DataFrame) -> DataFrame:
+    """(conv_id, key, original) after events (conv_id, seq, replacement, original) were added one after the other: a text's new
+    replacement takes the place of its earlier one, whose key is forgotten."""
+    order = Window.partitionBy("conv_id", "original").orderBy("seq")
+    rows = events.select("conv_id", "seq", "replacement", "original", F.lag("replacement").over(order).alias("earlier"))
+    gone = rows.where("earlier <> replacement").groupBy("conv_id", F.col("earlier").alias("key")).agg(F.max("seq").alias("gone"))
+    put = rows.groupBy("conv_id", F.col("replacement").alias("key")).agg(F.max("seq").alias("put"), F.max_by("original", "seq").alias("original"))
+    return put.join(gone, ["conv_id", "key"], "left").where("gone is null or gone < put").select("conv_id", "key", "original")
+
+
 def reverse_index(records: DataFrame) -> DataFrame:
     """(key, original): placeholders and synthetic values; of equal keys the last record's counts."""
     keys = records.select(F.col("placeholder").alias("key"), "original_text", "first_seq").unionByName(

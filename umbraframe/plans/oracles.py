@@ -191,12 +191,20 @@ ORACLES["anonymized_replies"] = r"""SELECT conv_id, turn, regexp_matches(text, '
   CASE WHEN length(h) > 30 THEN substr(h, 1, 27) || '...' ELSE h END AS shown FROM (SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS h FROM conversations WHERE role = 'assistant' AND length(text) >= 10) c"""
 
 _TIERED = f"(SELECT *, CASE WHEN gb IS NULL OR gb <= 0 THEN 'unknown' WHEN gb <= 2 THEN 'critical' WHEN gb <= 4 THEN 'warning' ELSE 'ok' END AS tier FROM ({Q._HOSTS}) h)"
+_MEMORY = "CASE WHEN gb IS NULL THEN 'unavailable' ELSE cast(cast(gb AS BIGINT) AS VARCHAR) || ' GB' END"
+
+
+def _said(name: str) -> str:
+    tone, title, detail = C.RESOURCE_SUMMARIES[name]
+    return f"struct_pack(tone := '{tone}', title := '{title}', detail := replace('{detail}', '{{memory}}', {_MEMORY}))"
+
+
 ORACLES["host_rules"] = f"""SELECT host_id, tier, CASE tier WHEN 'critical' THEN 'auto-disable-local-ai' WHEN 'ok' THEN 'none' ELSE 'warn' END AS recommendation,
   provider <> 'off' AND state = 'enabled' AND tier = 'ok' AND gpu <> 'unavailable' AND NOT on_cpu AS warm_up,
   CASE state WHEN 'off-load-failure' THEN 'model-failed' WHEN 'off-user-choice' THEN 'pattern-only' WHEN 'off-low-memory-auto' THEN CASE WHEN tier = 'critical' AND modal <> 'pending' THEN 'low-memory-protection' END
-    ELSE CASE WHEN tier = 'warning' THEN 'low-memory-warning' WHEN tier = 'unknown' THEN 'unknown-memory' WHEN on_cpu THEN 'running-on-cpu' END END AS chip, split_part(said, ':', 1) AS tone, split_part(said, ':', 2) AS title
-  FROM (SELECT *, CASE WHEN state = 'off-load-failure' THEN 'critical:Local AI failed to load' WHEN state = 'off-low-memory-auto' THEN 'critical:Low memory protection mode' WHEN provider = 'off' OR state = 'off-user-choice' THEN 'info:Local AI detection off'
-    WHEN on_cpu THEN 'warning:Local AI is running on CPU' WHEN tier = 'warning' THEN 'warning:Local AI may be resource-intensive' WHEN tier = 'unknown' THEN 'warning:Compatibility uncertain' END AS said FROM {_TIERED} t) x"""
+    ELSE CASE WHEN tier = 'warning' THEN 'low-memory-warning' WHEN tier = 'unknown' THEN 'unknown-memory' WHEN on_cpu THEN 'running-on-cpu' END END AS chip, said.tone AS tone, said.title AS title, said.detail AS detail
+  FROM (SELECT *, CASE WHEN state = 'off-load-failure' THEN {_said('failed')} WHEN state = 'off-low-memory-auto' THEN {_said('protected')} WHEN provider = 'off' OR state = 'off-user-choice' THEN {_said('off')}
+    WHEN on_cpu THEN {_said('on_cpu')} WHEN tier = 'warning' THEN {_said('tight')} WHEN tier = 'unknown' THEN {_said('uncertain')} END AS said FROM {_TIERED} t) x"""
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _TAG = """'<span class="pg-highlight pg-highlight-' || lower(entity_type) || CASE WHEN score >= greatest(b, 0.5) THEN '' ELSE ' pg-highlight-off' END || '" data-pg-span-index="' || cast(n AS VARCHAR) || '" title="' || entity_type || ' (' || cast(cast(round(score * 100) AS INT) AS VARCHAR) || '%)">'"""
 ORACLES["highlighted_html"] = f"""WITH n AS (SELECT d.*, t.b, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS n FROM ({duck.detected(_FENCED_ROWS)}) d JOIN ({_TYPE_ROWS}) t USING (entity_type)),

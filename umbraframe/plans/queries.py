@@ -433,10 +433,10 @@ SELECT c_custkey AS host_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE cast(c_c
 def host_rules(spark, sf_dir):
     df = inputs.derived(spark, sf_dir, _HOSTS).withColumn("tier", host.memory_tier(F.col("gb")))
     c = F.col
-    df = df.withColumn("s", host.resource_summary(c("provider"), c("state"), c("tier"), c("on_cpu")))
+    df = df.withColumn("s", host.resource_summary(c("provider"), c("state"), c("tier"), c("on_cpu"), c("gb")))
     return df.select(
         "host_id", "tier", host.recommendation(c("tier")).alias("recommendation"), host.may_warm_up(c("provider"), c("state"), c("tier"), c("gpu"), c("on_cpu")).alias("warm_up"),
-        host.chip_reason(c("state"), c("tier"), c("modal"), c("on_cpu")).alias("chip"), c("s.tone").alias("tone"), c("s.title").alias("title"),
+        host.chip_reason(c("state"), c("tier"), c("modal"), c("on_cpu")).alias("chip"), c("s.tone").alias("tone"), c("s.title").alias("title"), c("s.detail").alias("detail"),
     )
 
 

@@ -6,16 +6,16 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from umbraframe.functions import constants as C
-from umbraframe.operators.corpus import GOLD, violations
+from umbraframe.operators.corpus import GOLD, source_spans, violations
 
 EXAMPLE = f"recordType string, id string, language string, lengthBucket string, text string, goldSpans {GOLD}, source struct<dataset:string,recordId:string,split:string,uid:string,region:string,script:string,sourceFile:string,sourceRow:bigint>"
 SPANS = "array<struct<start:bigint,end:bigint,entity_type:string,score:double,text:string,source:string>>"
 VAULT = "id string, originalText string, normalizedKey string, entityType string, placeholder string, syntheticValue string, replacementMode string, pinned boolean, createdAt bigint, updatedAt bigint, lastSeenAt bigint, usageCount bigint"
-RAW = "id string, language string, source_text string, privacy_mask array<struct<start:int,end:int,value:string,label:string>>, region string, script string"
+RAW = "id string, language string, source_text string, privacy_mask array<struct<start:int,start_offset:int,end:int,end_offset:int,value:string,text:string,label:string,entity_type:string,type:string>>, span_labels array<array<string>>, region string, script string"
 
 
 def external_spans(raw):
@@ -23,12 +23,30 @@ def external_spans(raw):
     return F.coalesce(F.from_json(raw, SPANS), F.expr(f"cast(array() as {SPANS})"))
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) with line numbers from 1: lines are counted by partition, in the order of the file, and a partition's lines
+    begin behind those of the ones before it."""
+    at = F.monotonically_increasing_id()  # the partition's number << 33, plus the line's place in it
+    lines = spark.read.text(path).select(F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place"), "value")
+    sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    begins = sizes.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("begins"))
+    return lines.join(F.broadcast(begins), "part").select((F.col("begins") + F.col("place") + 1).alias("line"), "value")
+
+
+def parsed_records(df: DataFrame, column: str = "record") -> DataFrame:
+    """Raw records of a JSON column, their spans in one form: id, language, source_text, privacy_mask, region, script."""
+    rows = df.withColumn("_r", F.from_json(column, f"struct<{_struct(RAW)}>"))
+    spans = source_spans(F.col("_r.privacy_mask"), F.col("_r.span_labels"))
+    return rows.select("*", "_r.id", "_r.language", "_r.source_text", spans.alias("privacy_mask"), "_r.region", "_r.script").drop("_r", column)
+
+
 def read_corpus(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """The metadata record and the examples of a corpus; raises on anything unsound, with the lines' places.
 
     A line's number is counted by partitions of the text file, never in one task; blank lines don't count as records.
     """
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id() + 1).withColumn("value", F.regexp_replace("value", r"\r$", "")).where("trim(value) <> ''")
+    lines = _numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", r"\r$", "")).where("trim(value) <> ''")
     kind = F.get_json_object("value", "$.recordType")
     bad = lines.where(kind.isNull() | ~kind.isin("metadata", "example")).select("line").orderBy("line").take(1)
     if bad:
@@ -63,7 +81,8 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     records = f"array<struct<{_struct(RAW)}>>"
     inner = F.coalesce(F.get_json_object("value", "$.data"), F.get_json_object("value", "$.records"))
     parsed = F.from_json(F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(inner), records)
-    return whole.select(F.input_file_name().alias("source_file"), F.posexplode(parsed).alias("n", "r")).select("source_file", (F.col("n") + 1).cast("bigint").alias("source_row"), "r.*")
+    rows = whole.select(F.input_file_name().alias("source_file"), F.posexplode(parsed).alias("n", "r")).select("source_file", (F.col("n") + 1).cast("bigint").alias("source_row"), "r.*")
+    return rows.withColumn("privacy_mask", source_spans(F.col("privacy_mask"), F.col("span_labels"))).drop("span_labels")
 
 
 def _struct(columns: str) -> str:
@@ -111,7 +130,7 @@ def read_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     rows = whole.mapInPandas(run, "source_file string, source_row bigint, record string, was_repaired boolean")
-    return rows.select("source_file", "source_row", "was_repaired", F.from_json("record", f"struct<{_struct(RAW)}>").alias("r")).select("source_file", "source_row", "was_repaired", "r.*")
+    return parsed_records(rows)
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:

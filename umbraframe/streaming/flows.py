@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,11 +15,11 @@ from umbraframe.operators import detect, policy
 QUIET, REPEAT_MS, KEEP_ALIVE, IDLE, TOMBSTONE = "500 milliseconds", 250, "30 seconds", "10 minutes", "5 minutes"
 
 
-def quiet_texts(df: DataFrame, key: str, ts: str = "ts", text: str = "text", gap: str = QUIET, late: str = "10 seconds") -> DataFrame:
-    """The last text of each burst: a response is read once it has been quiet for `gap`."""
+def quiet_texts(df: DataFrame, key: str, ts: str = "ts", text: str = "text", gap: str = QUIET, late: str = "10 seconds", order: Column | None = None) -> DataFrame:
+    """The last text of each burst (by `order`, or by time): a response is read once it has been quiet for `gap`."""
     session = F.session_window(ts, gap)
     df = df.withWatermark(ts, late) if df.isStreaming else df
-    return df.groupBy(key, session.alias("w")).agg(F.max_by(text, ts).alias(text), F.max(ts).alias(ts)).select(key, ts, text)
+    return df.groupBy(key, session.alias("w")).agg(F.max_by(text, F.col(ts) if order is None else order).alias(text), F.max(ts).alias(ts)).select(key, ts, text)
 
 
 def activity(df: DataFrame, key: str, ts: str = "ts", gap: str = KEEP_ALIVE, late: str = "1 minute") -> DataFrame:
