@@ -17,6 +17,20 @@ def test_settings():
     assert host.Settings.sanitised({"min_confidence": 0.9, "skip_code_blocks": True}) == host.Settings(min_confidence=0.9, skip_code_blocks=True)
 
 
+def test_all_settings_are_sanitised():
+    entry = {"pattern": "x", "scope": "any", "added_at": 1, "source": "manual"}
+    raw = {
+        "ner_model": "ai4privacy", "ner_dtype": "fp16", "theme": "light", "cancel_behavior": "drop", "unload_timeout_ms": None, "clipboard_intercept": "no", "keep_loaded_while_active": False,
+        "groups_enabled": {"Contact": False, "no group": True, "Low-signal": 1}, "group_thresholds": {"Contact": 0.25, "Low-signal": 2}, "allowlist": [entry, {**entry, "scope": "EMAIL"}, None, {**entry, "source": "x"}],
+        "blocklist": [{**entry, "scope": "EMAIL"}, {**entry, "added_at": "1"}],
+    }
+    got = host.Settings.sanitised(raw)
+    assert (got.ner_model, got.ner_dtype, got.theme, got.cancel_behavior, got.unload_timeout_ms, got.clipboard_intercept, got.keep_loaded_while_active) == ("bardsai", "q4f16", "light", "drop", None, True, False)
+    assert got.groups_enabled["Contact"] is False and got.groups_enabled["Low-signal"] is False and "no group" not in got.groups_enabled and got.group_thresholds == {"Contact": 0.25}
+    assert got.allowlist == [entry] and got.blocklist == [{**entry, "scope": "EMAIL"}]
+    assert host.Settings.sanitised({"unload_timeout_ms": 5}).unload_timeout_ms == 600_000 and host.Settings.sanitised({"unload_timeout_ms": 60_000}).unload_timeout_ms == 60_000
+
+
 def test_highlights_and_previews(spark):
     text, kind = "a <é@b.org> z", f"array<{T.SPAN[:-1]},in_code:boolean>>"
     df = spark.createDataFrame([(text, [(3, 11, "EMAIL", 0.95, "é@b.org", "regex", False), (0, 1, "URL", 0.5, "a", "regex", True)])], f"text string, spans {kind}")

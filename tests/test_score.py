@@ -142,3 +142,32 @@ def test_corpus_labels(spark):
     of = lambda v: spark.range(1).select(corpus.corpus_type(F.lit(v)).alias("v")).first().v
     assert [of(x) for x in ("full name", "POSTAL_CODE", "pin", "Email", "nope")] == ["PERSON", "MISC", "MISC", "EMAIL", None]
     assert set(C.SAMPLED_TYPES) <= set(C.ENTITY_TYPES)
+
+
+def test_full_report():
+    m = {"tp": 1, "fp": 0, "fn": 1, "precision": 1.0, "recall": 0.5, "f1": 2 / 3}
+    accuracy = {"type_accuracy": 1.0, "type_correct": 1, "matched": 1}
+    times = {"average_ms": 1.5, "p50_ms": 1.0, "p95_ms": 2.25, "max_ms": 3.6}
+    sample = {"example_id": "e1", "entity_type": "EMAIL", "text": "y" * 70, "start": 1, "end": 71, "detected_type": "PHONE", "score": 0.12345, "context": "around"}
+    report = {
+        "corpus": {"id": "c", "examples": 2, "schema": 1, "dataset": "d", "revision": "r1", "unit": "utf8-bytes", "scoring": "span"}, "mode": "regex-only", "config": {"provider": "off", "model": "bardsai", "ner_enabled": False, "min_confidence": 0.5, "context_boost": 0.15, "context_window": 5},
+        "provider": {"state": "ready"}, "headline": m | accuracy, "languages": {"en": m}, "lengths": {"short": m}, "types": {"EMAIL": m, "PHONE": m | {"tp": 0, "fn": 0}}, "negative": {"passed": 1, "examples": 2, "pass_rate": 0.5, "false_positive_rate": 1.25},
+        "misc": m | accuracy | {"examples": 1, "gold_spans": 3}, "wall_ms": 12.4, "latency": times, "ner": None, "load_ms": None, "missed": [sample], "wrong": [],
+    }
+    lines = score.full_report(report).split("\n")
+    assert lines[:3] == ["OpenPII benchmark", "Corpus: c (2 examples, schema 1)", "Source: d @ r1"] and lines[4] == ""
+    assert "Micro span P/R/F1: 100.0% / 50.0% / 66.7% (TP 1, FP 0, FN 1)" in lines and "Entity: EMAIL 66.7% (TP 1, FP 0, FN 1)" in lines
+    assert "Negative examples: 1/2 passed (50.0%); false positives/example 1.25" in lines and "Min confidence: 0.5; context boost: 0.15; context window: 5" in lines
+    assert "Per example: avg 2 ms, p50 1 ms, p95 2 ms, max 4 ms" in lines and "NER timing: unavailable" in lines
+    assert f'- e1 EMAIL "{"y" * 57}..." [1-71, detected PHONE, score 0.123] :: around' in lines and lines[-1] == "none"
+
+
+def test_latency_over_many_ranges(spark):
+    import random
+
+    r = random.Random(3)
+    values = [r.choice([1.0, 2.5, r.random() * 100]) for _ in range(999)]
+    row = score.latency(spark.createDataFrame([(v,) for v in [*values, None]], "ms double"), "ms").first()
+    s = sorted(values)
+    assert (row["count"], row.p50_ms, row.p95_ms, row.max_ms) == (999, s[499], s[949], s[-1]) and abs(row.total_ms - sum(values)) < 1e-6
+    assert tuple(score.latency(spark.createDataFrame([], "ms double"), "ms").first()) == (0, 0.0, 0.0, 0.0, 0.0, 0.0)

@@ -174,6 +174,10 @@ POOLS = {
 }
 EMAIL_DOMAINS = ["example.com", "example.org", "example.net"]
 
+# Models that can be chosen, their precisions, and after how many milliseconds an idle one is unloaded.
+ACTIVE_MODELS, MODEL_DTYPES = ["bardsai"], ["q4f16"]
+UNLOAD_TIMEOUTS_MS, UNLOAD_TIMEOUT_MS = [60_000, 300_000, 600_000, 1_800_000, None], 600_000
+
 # What a page says of a host, by rule: tone, title, detail.
 RESOURCE_SUMMARIES = {
     "failed": ("critical", "Local AI failed to load", "Pattern detection remains active. Retry from Local AI settings."),

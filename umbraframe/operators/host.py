@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,25 +66,57 @@ def supported(url: Column, prefixes: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, prefixes)), lambda p: url.startswith(p)) if prefixes else F.lit(False)
 
 
+def _number(low: float, high: float, above: bool = False):
+    """Whether a value is a number from `low` (or above it) to `high`."""
+    return lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and (low < v if above else low <= v) and v <= high
+
+
+def _one_of(*values):
+    return lambda v: any(v is x or (type(v) is type(x) or isinstance(v, int) and isinstance(x, int) and not isinstance(v, bool)) and v == x for x in values)
+
+
+def _flag(v: object) -> bool:
+    return isinstance(v, bool)
+
+
 @dataclass(frozen=True)
 class Settings:
     """Settings as they are stored; what is missing, of the wrong kind or out of range gets its default."""
 
     min_confidence: float = 0.5
     ner_provider: str = "transformers"
+    ner_model: str = "bardsai"
+    ner_dtype: str = "q4f16"
     sensitivity_mode: str = "global"
     replacement_mode: str = "placeholder"
     vault_enabled: bool = True
+    theme: str = "dark"
+    clipboard_intercept: bool = True
     skip_code_blocks: bool = False
+    cancel_behavior: str = "ask"
+    unload_timeout_ms: int | None = C.UNLOAD_TIMEOUT_MS
+    keep_loaded_while_active: bool = True
+    warm_on_supported_page: bool = True
+    groups_enabled: dict[str, bool] = field(default_factory=lambda: {g: g not in C.GROUPS_OFF for g in C.GROUPS})
+    group_thresholds: dict[str, float] = field(default_factory=dict)
+    allowlist: list[dict] = field(default_factory=list)
+    blocklist: list[dict] = field(default_factory=list)
 
     @classmethod
     def sanitised(cls, raw: object) -> Settings:
+        """Fields that hold; a model that isn't active gives way to the default one, groups count one by one, and list
+        entries that lack a field go."""
         given = raw if isinstance(raw, dict) else {}
-        allowed = {"ner_provider": ("off", "fixture", "transformers"), "sensitivity_mode": ("global", "individual"), "replacement_mode": ("placeholder", "synthetic")}
-        kept = {}
-        for f in fields(cls):
-            value = given.get(f.name)
-            number = isinstance(value, (int, float)) and not isinstance(value, bool)
-            if f.name == "min_confidence" and number and 0 < value <= 1 or f.name in allowed and value in allowed[f.name] or isinstance(f.default, bool) and isinstance(value, bool):
-                kept[f.name] = value
+        sound = {
+            "min_confidence": _number(0, 1, above=True), "ner_provider": _one_of("off", "fixture", "transformers"), "ner_model": _one_of(*C.ACTIVE_MODELS), "ner_dtype": _one_of(*C.MODEL_DTYPES),
+            "sensitivity_mode": _one_of("global", "individual"), "replacement_mode": _one_of("placeholder", "synthetic"), "theme": _one_of("dark", "light"),
+            "cancel_behavior": _one_of("ask", "paste-original", "drop"), "unload_timeout_ms": _one_of(*C.UNLOAD_TIMEOUTS_MS),
+        } | {f.name: _flag for f in fields(cls) if isinstance(f.default, bool)}
+        kept = {name: given[name] for name, holds in sound.items() if name in given and holds(given[name])}
+        groups, levels = (given[k] if isinstance(given.get(k), dict) else {} for k in ("groups_enabled", "group_thresholds"))
+        kept["groups_enabled"] = {g: groups[g] if _flag(groups.get(g)) else g not in C.GROUPS_OFF for g in C.GROUPS}
+        kept["group_thresholds"] = {g: levels[g] for g in C.GROUPS if _number(0, 1)(levels.get(g))}
+        for name, scopes in (("allowlist", ("any",)), ("blocklist", ("any", *C.ENTITY_TYPES))):
+            rows = given[name] if isinstance(given.get(name), list) else []
+            kept[name] = [r for r in rows if isinstance(r, dict) and isinstance(r.get("pattern"), str) and r.get("scope") in scopes and _number(float("-inf"), float("inf"))(r.get("added_at")) and r.get("source") in ("manual", "detection")]
         return cls(**kept)

@@ -6,12 +6,14 @@ examples: example_id, language, length_bucket.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbraframe.functions import constants as C
+from umbraframe.sources.state import stored
 
 
 @dataclass(frozen=True)
@@ -108,10 +110,29 @@ def samples(rows: DataFrame, outcome: str, most: int = 5) -> DataFrame:
 
 
 def latency(df: DataFrame, ms: str) -> DataFrame:
-    """Count, sum, mean, nearest-rank p50 and p95, and maximum; zeros for an empty table."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by {ms})")
-    out = df.agg(F.count(ms).alias("count"), F.sum(ms).alias("total_ms"), F.avg(ms).alias("average_ms"), rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"), F.max(ms).alias("max_ms"))
-    return out.select("count", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in out.columns[1:]])
+    """Count, sum, mean, nearest-rank p50 and p95, and maximum; zeros for an empty table.
+
+    Values are counted, dealt by ranges and stored; the sizes of the ranges, a row for each, say which one holds a rank, and only
+    that range is put in order.
+    """
+    values = df.where(F.col(ms).isNotNull()).select(F.col(ms).cast("double").alias("ms"))
+    counts = stored(values.groupBy("ms").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("ms").withColumn("_range", F.spark_partition_id()))
+    sizes = sorted(counts.groupBy("_range").agg(F.sum("n").alias("n")).collect())
+    total = sum(r.n for r in sizes)
+
+    def rank(share: float) -> float:
+        at = max(1, math.ceil(total * share))
+        for r in sizes:
+            if at <= r.n:
+                within = counts.where(F.col("_range") == r["_range"]).withColumn("upto", F.sum("n").over(Window.partitionBy("_range").orderBy("ms")))
+                return within.where(F.col("upto") >= at).agg(F.min("ms")).first()[0]
+            at -= r.n
+        return 0.0
+
+    number = lambda c: F.coalesce(c, F.lit(0.0))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), number(F.max("ms")).alias("max_ms"))
+    exact = values.agg(number(F.sum("ms")).alias("total_ms"), number(F.avg("ms")).alias("average_ms")).first()
+    return sums.select("count", F.lit(exact.total_ms).alias("total_ms"), F.lit(exact.average_ms).alias("average_ms"), F.lit(rank(0.5)).alias("p50_ms"), F.lit(rank(0.95)).alias("p95_ms"), "max_ms")
 
 
 def by_example(examples: DataFrame, gold: DataFrame, found: DataFrame, matched: DataFrame) -> DataFrame:
@@ -135,3 +156,65 @@ def report_text(name: str, row: dict, types: list[dict], timing: dict) -> str:
     lines = [name, f"TP {row['tp']}  FP {row['fp']}  FN {row['fn']}", f"precision {percent(row['precision'])}  recall {percent(row['recall'])}  F1 {percent(row['f1'])}"]
     lines += [f"  {t['entity_type']}: precision {percent(t['precision'])} recall {percent(t['recall'])} F1 {percent(t['f1'])}" for t in types if t["tp"] + t["fp"] + t["fn"]]
     return "\n".join([*lines, f"latency ms: avg {number(timing['average_ms'])} p50 {number(timing['p50_ms'])} p95 {number(timing['p95_ms'])} max {number(timing['max_ms'])}"])
+
+
+def number_text(value: float | None) -> str:
+    """Up to three decimals."""
+    return "n/a" if value is None else f"{value:.3f}".rstrip("0").rstrip(".")
+
+
+def _counted(m: dict) -> str:
+    return f"TP {m['tp']}, FP {m['fp']}, FN {m['fn']}"
+
+
+def _percent(value: float) -> str:
+    return f"{100 * value:.1f}%"
+
+
+def _times(t: dict) -> str:
+    return ", ".join(f"{name} {t[key]:.0f} ms" for name, key in (("avg", "average_ms"), ("p50", "p50_ms"), ("p95", "p95_ms"), ("max", "max_ms")))
+
+
+def _sampled(rows: list[dict]) -> str:
+    def line(r: dict) -> str:
+        other = f", detected {r['detected_type']}" if r.get("detected_type") and r["detected_type"] != r["entity_type"] else ""
+        scored = f", score {number_text(r['score'])}" if r.get("score") is not None else ""
+        text = r["text"] if len(r["text"]) <= 60 else r["text"][:57] + "..."
+        return f"- {r['example_id']} {r['entity_type']} \"{text}\" [{r['start']}-{r['end']}{other}{scored}] :: {r['context']}"
+
+    return "\n".join(map(line, rows)) or "none"
+
+
+def full_report(report: dict) -> str:
+    """The whole report in its fixed layout, from collected aggregates.
+
+    Keys: corpus (id, examples, schema, dataset, revision, unit, scoring), mode, config (provider, model, ner_enabled,
+    min_confidence, context_boost, context_window), provider (state, message), headline (metrics, type_accuracy, type_correct,
+    matched), languages, lengths, types (metrics by key, in order), negative, misc (also examples, gold_spans), wall_ms, latency,
+    ner (or None), load_ms (or None), missed and wrong (samples).
+    """
+    c, f, h, neg, misc = (report[k] for k in ("corpus", "config", "headline", "negative", "misc"))
+    by_key = lambda rows: "; ".join(f"{k} {_percent(m['f1'])} ({_counted(m)})" for k, m in rows.items())
+    accuracy = lambda m: f"{_percent(m['type_accuracy'])} ({m['type_correct']}/{m['matched']})"
+    scored = {k: m for k, m in report["types"].items() if m["tp"] + m["fp"] + m["fn"]}
+    state, load = report["provider"], report.get("load_ms")
+    sections = [
+        ["OpenPII benchmark", f"Corpus: {c['id']} ({c['examples']} examples, schema {c['schema']})", f"Source: {c['dataset']}" + (f" @ {c['revision']}" if c.get("revision") else ""), f"Offsets: {c['unit']}; scoring: {c['scoring']}"],
+        [
+            "Effective config", f"Mode: {report['mode']}", f"Provider: {f['provider']}; model: {f['model']}; NER enabled: {'yes' if f['ner_enabled'] else 'no'}",
+            f"Min confidence: {number_text(f['min_confidence'])}; context boost: {number_text(f['context_boost'])}; context window: {f['context_window']}", f"Provider status: {state['state']}" + (f" ({state['message']})" if state.get("message") else ""),
+        ],
+        ["Headline quality", f"Micro span P/R/F1: {_percent(h['precision'])} / {_percent(h['recall'])} / {_percent(h['f1'])} ({_counted(h)})", f"Type accuracy on matched spans: {accuracy(h)}"],
+        ["Breakdowns", f"Language: {by_key(report['languages'])}", f"Length: {by_key(report['lengths'])}", f"Entity: {by_key(scored) or 'no scored entity spans'}"],
+        [
+            "Negative and miscellaneous", f"Negative examples: {neg['passed']}/{neg['examples']} passed ({_percent(neg['pass_rate'])}); false positives/example {number_text(neg['false_positive_rate'])}",
+            f"Misc bucket: {misc['examples']} examples, {misc['gold_spans']} gold spans, F1 {_percent(misc['f1'])}, type accuracy {accuracy(misc)}",
+        ],
+        [
+            "Latency", f"Total wall time: {report['wall_ms']:.0f} ms", f"Per example: {_times(report['latency'])}", f"NER timing: {_times(report['ner']) if report.get('ner') else 'unavailable'}",
+            f"Last provider model load: {'unavailable' if load is None else f'{load:.0f} ms'}",
+        ],
+        ["False negative samples", _sampled(report["missed"])],
+        ["False positive samples", _sampled(report["wrong"])],
+    ]
+    return "\n\n".join("\n".join(lines) for lines in sections)

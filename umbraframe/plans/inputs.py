@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Prompts with all kinds of identifiers, valid and not, non-ASCII names and an emoji.
@@ -62,16 +65,17 @@ SELECT o_orderkey AS id, o_orderkey AS place, CASE o_orderkey % 2 WHEN 0 THEN 'e
 """
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    import re
-
-    views(spark, sf_dir, *{n for n in re.findall(r"FROM (\w+)", sql)})
-    return spark.sql(sql)
+    """What the SQL makes of tables of the data folder. They have names of their own while it is read, so that no view of the
+    session is touched."""
+    own, used = uuid.uuid4().hex, set(re.findall(r"FROM (\w+)", sql))
+    for name in used:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"{name}_{own}")
+    try:
+        return spark.sql(re.sub(r"FROM (\w+)", rf"FROM \1_{own}", sql))
+    finally:
+        for name in used:
+            spark.catalog.dropTempView(f"{name}_{own}")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
