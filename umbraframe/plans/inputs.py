@@ -37,11 +37,14 @@ FROM customer
 TEXTS = f"SELECT doc_id AS text_id, text FROM documents UNION ALL SELECT -1 - prompt_id AS text_id, text FROM ({PROMPTS}) prompts"
 
 _LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) lines"
-#: Gold spans, detections and examples for scoring; every tenth example has no gold.
+#: Gold spans, detections and examples for scoring; every tenth example has no gold. Some gold spans lie one byte beside another,
+#: so detections and gold spans compete for each other.
 GOLD = f"""
 SELECT l_orderkey AS example_id, l_linenumber AS gold_index, l_linenumber * 50 AS s, l_linenumber * 50 + 6 + l_partkey % 20 AS e,
   CASE l_suppkey % 5 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PHONE' WHEN 2 THEN 'PERSON' WHEN 3 THEN 'DATE' ELSE CASE WHEN l_orderkey % 17 = 0 THEN 'MISC' ELSE 'SSN' END END AS entity_type
 FROM {_LINES} WHERE l_orderkey % 10 <> 0
+UNION ALL
+SELECT l_orderkey, 200 + l_linenumber, l_linenumber * 50 + 1, l_linenumber * 50 + 7 + l_partkey % 20, 'PHONE' FROM {_LINES} WHERE l_orderkey % 10 <> 0 AND l_partkey % 5 = 0
 """
 FOUND = f"""
 SELECT l_orderkey AS example_id, l_linenumber AS found_index, l_linenumber * 50 + l_partkey % 4 AS s, l_linenumber * 50 + 5 + l_partkey % 20 + l_suppkey % 3 AS e,

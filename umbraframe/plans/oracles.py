@@ -148,8 +148,11 @@ _PAIRS = f"""(SELECT example_id, gold_index, found_index, g.entity_type AS gold_
   FROM ({GOLD}) g JOIN ({FOUND}) f USING (example_id) WHERE g.s < f.e AND f.s < g.e)"""
 _CANDIDATES = f"(SELECT * FROM {_PAIRS} p WHERE drift <= 2 AND gold_coverage >= 0.8 AND found_coverage >= 0.5)"
 ORACLES["score_candidates"] = f"SELECT example_id, gold_index, found_index, overlap_bytes, round(gold_coverage, 6) AS gold_coverage, round(found_coverage, 6) AS found_coverage, drift FROM {_CANDIDATES} c"
-# A detection overlaps one gold span here, so the greedy choice is each gold span's first candidate.
-_MATCHES = f"(SELECT *, gold_type = found_type AS type_correct FROM {_CANDIDATES} c QUALIFY row_number() OVER (PARTITION BY example_id, gold_index ORDER BY gold_coverage DESC, found_coverage DESC, drift, length_delta, found_index) = 1)"
+# The greedy choice: pairs in order, each taken if neither of its spans is.
+_TAKEN = "list_contains(list_transform(acc, lambda p: p.{k}), x[1].{k})"
+_GREEDY = f"""(SELECT example_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN {_TAKEN.format(k='gold_index')} OR {_TAKEN.format(k='found_index')} THEN acc ELSE list_concat(acc, x) END)) AS k FROM (
+  SELECT example_id, list([struct_pack(gold_index := gold_index, found_index := found_index)] ORDER BY gold_coverage DESC, found_coverage DESC, drift, length_delta, gold_index, found_index) AS l FROM {_CANDIDATES} c GROUP BY example_id) g)"""
+_MATCHES = f"(SELECT c.*, gold_type = found_type AS type_correct FROM {_CANDIDATES} c JOIN {_GREEDY} g ON g.example_id = c.example_id AND g.k.gold_index = c.gold_index AND g.k.found_index = c.found_index)"
 ORACLES["score_matches"] = f"SELECT example_id, gold_index, found_index, type_correct FROM {_MATCHES} m"
 _OUTCOMES = f"""(SELECT example_id, gold_type AS entity_type, 'tp' AS outcome, type_correct FROM {_MATCHES} m
   UNION ALL SELECT example_id, entity_type, 'fn', NULL FROM ({GOLD}) g WHERE NOT EXISTS (SELECT 1 FROM {_MATCHES} m WHERE m.example_id = g.example_id AND m.gold_index = g.gold_index)
