@@ -274,7 +274,8 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", tokenizer: tupl
 
 
 def round_trip(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """Encoding and decoding one after the other in the same worker: id, ids, raw and their digests."""
+    """Encoding and decoding one after the other in the same worker: id, ids, raw and their digests. A null text counts as
+    empty; repeated rows and rows without an id give results like any other."""
     tokenizer = tokenizer or default_tokenizer()
     encode, decode = _encode(tokenizer), _decode(tokenizer)
     df = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

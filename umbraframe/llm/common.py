@@ -9,14 +9,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from umbraframe.sources.state import importable, shared_dir, stored, stored_round
+from umbraframe.sources.state import importable, shared_dir, stored, stored_round, work_folder
 
 #: Materialises a frame in the shared folder and cuts its lineage; lost executors don't matter afterwards.
 cut = stored
 #: The same for what the next round of a loop joins again.
 cut_round = stored_round
 
-__all__ = ["cut", "cut_round", "held", "load", "map_batches", "partitions_for", "record_batch", "shared_dir", "texts_of", "unused"]
+__all__ = ["cut", "cut_round", "held", "load", "map_batches", "partitions_for", "record_batch", "shared_dir", "texts_of", "unused", "work_folder"]
 
 #: Rows and bytes that one Arrow batch holds at most; a batch is what a Python worker has in memory.
 BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
@@ -28,7 +28,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limits Arrow batches by rows and by bytes, so that very long texts don't add up in a worker."""
+    """Limits Arrow batches by rows and by bytes, so that very long texts don't add up in a worker. Plans run after they
+    are built, so the limits stay set for the session; they bound memory and change no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

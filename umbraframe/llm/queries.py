@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from umbraframe.llm import bpe, chat, neardedup, planes, rlz, secrets, simhash, toxicity, wordpiece, wumanber
-from umbraframe.llm.common import load, shared_dir
+from umbraframe.llm.common import load, work_folder
 from umbraframe.llm.oracles import ORACLES
 
 
@@ -26,7 +24,7 @@ def op4_byte_bpe(spark, sf_dir):
 
 
 def op5_token_files(spark, sf_dir):
-    return planes.token_file_report(load(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}")
+    return planes.token_file_report(load(spark, sf_dir, "documents"), work_folder(spark, "token-files"))
 
 
 def op6_substring_dedup(spark, sf_dir):

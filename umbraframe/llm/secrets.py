@@ -211,7 +211,8 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
     """One row for each document: id and spans (kind, start, end), by start and then by the rules' order.
 
-    A null text counts as empty and has no spans. Repeated rows give repeated results, other columns are ignored.
+    A null text counts as empty and has no spans. Rows without an id, repeated ids and repeated rows are rows like any other:
+    each gives a result. Other columns are ignored.
     """
 
     def run(batches):

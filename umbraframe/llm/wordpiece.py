@@ -104,7 +104,9 @@ def count_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row for each document: id, n_words and n_tokens (longs).
 
     Words are `[^\\x20\\x09-\\x0D]+`; `prefix` stands before each, as entries that begin a word begin with a space
-    in this vocabulary and the others continue one. A null text has no words. Repeated rows give repeated results.
+    in this vocabulary and the others continue one. The default vocabulary is that of a byte-level BPE tokenizer, read as a
+    list of pieces: the counts are greedy ones, not that tokenizer's. A null text has no words. Repeated rows and rows without
+    an id give results like any other.
     """
     file = vocabulary or default_vocabulary()
 
