@@ -174,6 +174,9 @@ POOLS = {
 }
 EMAIL_DOMAINS = ["example.com", "example.org", "example.net"]
 
+# Fixed value: what the class and attribute names of rendered marks begin with.
+MARK_PREFIX = "pg"
+
 # Models that can be chosen, their precisions, and after how many milliseconds an idle one is unloaded.
 ACTIVE_MODELS, MODEL_DTYPES = ["bardsai"], ["q4f16"]
 UNLOAD_TIMEOUTS_MS, UNLOAD_TIMEOUT_MS = [60_000, 300_000, 600_000, 1_800_000, None], 600_000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbraframe.functions import constants as C
 from umbraframe.functions import text as T
 from umbraframe.operators.detect import span
 
@@ -25,21 +26,22 @@ def _title(m: Column) -> Column:
     return F.concat(F.lit(' title="'), m["entity_type"], F.lit(" ("), F.round(m["score"] * 100, 0).cast("int").cast("string"), F.lit('%)">'))
 
 
-def highlighted(text: Column, spans: Column, enabled) -> Column:
-    """HTML of the text with its spans; `enabled` maps a span to whether it is on. Spans in code are not shown."""
+def highlighted(text: Column, spans: Column, enabled, prefix: str = C.MARK_PREFIX) -> Column:
+    """HTML of the text with its spans; `enabled` maps a span to whether it is on, `prefix` begins class and attribute names.
+    Spans in code are not shown."""
     shown = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("index"), s["end"].alias("end"), s["text"].alias("shown"), s["entity_type"].alias("entity_type"), s["score"].alias("score"), s["source"].alias("source"), enabled(s).alias("on"), F.coalesce(s["in_code"], F.lit(False)).alias("hidden"))), lambda m: ~m["hidden"])
 
     def tag(m: Column) -> Column:
-        index = F.when(m["source"] == "manual", "").otherwise(F.concat(F.lit(' data-pg-span-index="'), m["index"].cast("string"), F.lit('"')))
-        return F.concat(F.lit('<span class="pg-highlight pg-highlight-'), F.lower(m["entity_type"]), F.when(m["on"], "").otherwise(" pg-highlight-off"), F.lit('"'), index, _title(m))
+        index = F.when(m["source"] == "manual", "").otherwise(F.concat(F.lit(f' data-{prefix}-span-index="'), m["index"].cast("string"), F.lit('"')))
+        return F.concat(F.lit(f'<span class="{prefix}-highlight {prefix}-highlight-'), F.lower(m["entity_type"]), F.when(m["on"], "").otherwise(f" {prefix}-highlight-off"), F.lit('"'), index, _title(m))
 
     return _marked(text, shown, tag)
 
 
-def preview(text: Column, tokens: Column) -> Column:
+def preview(text: Column, tokens: Column, prefix: str = C.MARK_PREFIX) -> Column:
     """HTML of the text as it will be sent: tokens are (start, end, token, entity_type, score)."""
     marks = F.transform(tokens, lambda t, i: F.struct(t["start"].alias("start"), i.alias("index"), t["end"].alias("end"), t["token"].alias("shown"), t["entity_type"].alias("entity_type"), t["score"].alias("score")))
-    return _marked(text, marks, lambda m: F.concat(F.lit('<span class="pg-highlight pg-highlight-'), F.lower(m["entity_type"]), F.lit('"'), _title(m)))
+    return _marked(text, marks, lambda m: F.concat(F.lit(f'<span class="{prefix}-highlight {prefix}-highlight-'), F.lower(m["entity_type"]), F.lit('"'), _title(m)))
 
 
 def manual_span(text: Column, selected: Column, entity_type: Column) -> Column:

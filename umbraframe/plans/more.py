@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from umbraframe.plans import queries as Q
 from umbraframe.plans.duck import ENTITY_MAP, MENTIONS, VAULT
 from umbraframe.plans.inputs import EXAMPLES, FEEDBACK, FOUND, GOLD, PROMPTS
 from umbraframe.sources import jsonl
-from umbraframe.sources.state import shared_dir, stored
+from umbraframe.sources.state import stored, work_folder
 from umbraframe.streaming import flows
 
 QUERIES: dict = {}
@@ -33,10 +31,6 @@ def query(sql: str | None):
     return put
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # Sources
 
 _EXTERNAL = f"""
@@ -85,7 +79,7 @@ def raw_examples(spark, sf_dir):
 @query(_RAW_GOLD)
 def raw_lines(spark, sf_dir):
     """The same records written as JSON Lines, some broken over two physical lines, and read with repair."""
-    folder = _folder(spark, "raw")
+    folder = work_folder(spark, "raw")
     broken = F.when(F.col("k") % 6 == 0, F.replace(F.col("record"), F.lit('"source_text":"Hi '), F.lit('"region":"x\ny","source_text":"Hi '))).otherwise(F.col("record"))
     inputs.derived(spark, sf_dir, _RAW_JSON).select(broken).write.text(folder)
     return _raw_gold(jsonl.read_raw_jsonl(spark, folder))
@@ -93,7 +87,7 @@ def raw_lines(spark, sf_dir):
 
 @query(f"SELECT k, k % 6 = 0 AND k % 8 <> 5 AS was_repaired FROM ({_RAW}) x")
 def raw_repairs(spark, sf_dir):
-    folder = _folder(spark, "raw")
+    folder = work_folder(spark, "raw")
     broken = F.when(F.col("k") % 6 == 0, F.replace(F.col("record"), F.lit('"source_text":"Hi '), F.lit('"region":"x\ny","source_text":"Hi '))).otherwise(F.col("record"))
     inputs.derived(spark, sf_dir, _RAW_JSON).select(broken).write.text(folder)
     return jsonl.read_raw_jsonl(spark, folder).select(F.substring("id", 2, 20).cast("bigint").alias("k"), "was_repaired")
@@ -102,7 +96,7 @@ def raw_repairs(spark, sf_dir):
 @query(_RAW_GOLD)
 def raw_json(spark, sf_dir):
     """The same records as one JSON file that has them under "data"."""
-    folder = _folder(spark, "json")
+    folder = work_folder(spark, "json")
     rows = inputs.derived(spark, sf_dir, _RAW_JSON).groupBy(F.pmod("k", F.lit(8)).alias("file")).agg(F.concat(F.lit('{"data":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("value"))
     rows.write.partitionBy("file").text(folder)
     return _raw_gold(jsonl.read_raw_json(spark, folder))
@@ -121,7 +115,7 @@ def _corpus(spark, sf_dir) -> DataFrame:
 @query(_RAW_GOLD)
 def corpus_file(spark, sf_dir):
     """Examples written after a metadata line in stable order, validated and read again."""
-    folder = _folder(spark, "corpus")
+    folder = work_folder(spark, "corpus")
     jsonl.write_corpus(_corpus(spark, sf_dir), folder, {"corpusId": "c", "schemaVersion": 1})
     metadata, df = jsonl.read_corpus(spark, folder)
     rows = detect.rows_of(df.where(F.lit(metadata["corpusId"]) == "c"), "gold", "id", "language", "length_bucket", name="g")
@@ -197,7 +191,7 @@ def vault_counters(spark, sf_dir):
 @query(f"SELECT placeholder, normalized_key, usage_count FROM ({VAULT}) v")
 def vault_file(spark, sf_dir):
     """The vault written as JSON Lines and read again; a line that isn't sound is dropped."""
-    folder, records = _folder(spark, "vault"), vault.vault(Q._mentions(spark, sf_dir))
+    folder, records = work_folder(spark, "vault"), vault.vault(Q._mentions(spark, sf_dir))
     long = lambda c: F.col(c).cast("bigint")
     rows = records.select(
         F.concat("entity_type", F.lit("|"), "normalized_key").alias("id"), F.col("original_text").alias("originalText"), F.col("normalized_key").alias("normalizedKey"), F.col("entity_type").alias("entityType"), "placeholder",
@@ -214,7 +208,7 @@ _STATED = f"SELECT conv_id, placeholder AS key, original FROM ({ENTITY_MAP}) e"
 @query(f"SELECT conv_id, key, CASE WHEN conv_id % 2 = 0 THEN upper(original) ELSE original END AS original FROM ({_STATED}) x UNION ALL SELECT DISTINCT conv_id, '[NEW_1]', 'new' FROM ({_STATED}) y WHERE conv_id % 2 = 0")
 def merged_maps(spark, sf_dir):
     """A stored map of each conversation, merged with a newer one: new rows win, nothing is deleted."""
-    folder, old = _folder(spark, "maps"), vault.entity_map(Q._mentions(spark, sf_dir)).select("conv_id", F.col("placeholder").alias("key"), "original")
+    folder, old = work_folder(spark, "maps"), vault.entity_map(Q._mentions(spark, sf_dir)).select("conv_id", F.col("placeholder").alias("key"), "original")
     jsonl.save_state(old, folder, "conv_id")
     old = spark.read.parquet(folder).select(F.col("conv_id").cast("bigint").alias("conv_id"), "key", "original")
     even = old.where("conv_id % 2 = 0")
@@ -398,7 +392,7 @@ def example_report(spark, sf_dir):
 @query(f"SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({O.ORACLES['score_by_lang']}) s")
 def report_file(spark, sf_dir):
     """A report's metrics written as JSON and read again."""
-    folder = _folder(spark, "report")
+    folder = work_folder(spark, "report")
     jsonl.write_json(Q.score_by_lang(spark, sf_dir), folder)
     return spark.read.json(folder).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
