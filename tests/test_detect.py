@@ -135,3 +135,24 @@ def test_small_text_functions(spark):
         T.escape_html(F.col("d")).alias("html"), T.context_around(F.lit("abcdefghij"), F.lit("ef"), 2, "...").alias("context"), T.truncated(F.lit("abcdefghij"), 6).alias("short"),
     ).first()
     assert tuple(row) == ("anna müller", "medium", "medium", "en", None, "&lt;a b=&quot;1&quot;&gt;&amp;", "...cdefgh...", "abc...")
+
+
+def test_context_words_far_from_the_edge_of_the_neighbourhood(spark):
+    """Words beyond the near bytes, words cut by their edge, a word that reaches into the span from far away."""
+    near = D.NEAR_BYTES
+    long = "ü" * near
+    texts = [f"one two three {' ' * (2 * near)} 10.0.0.1", f"first {'é ' * near}10.0.0.1{' è' * near} last", f"far {long} x10.0.0.1", f"a b c d e f g h 10.0.0.1 {'. ' * near} one two {long} three four five six seven"]
+
+    def plain(text, at, size):
+        token = r"[^\W_]|['’\-]"
+        words = lambda side: re.findall(rf"(?:{token})+", side)
+        head, tail = text[:at], text[at + size :]
+        head, tail = re.sub(rf"(?:{token})+$", "", head), re.sub(rf"^(?:{token})+", "", tail)
+        return words(head)[::-1][:6], words(tail)[:6]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    at = F.instr("text", "10.0.0.1") - 1
+    start = T.byte_offset(F.col("text"), at)
+    s = D.span(start, start + 8, F.lit("IP_ADDRESS"), F.lit(0.9), F.lit("10.0.0.1"), F.lit("regex"))
+    got = {r.id: (r.b, r.a) for r in df.withColumn("s", s).select("id", D.words_before(F.col("text"), F.col("s"), 6).alias("b"), D.words_after(F.col("text"), F.col("s"), 6).alias("a")).collect()}
+    assert got == {k: plain(t, t.index("10.0.0.1"), 8) for k, t in enumerate(texts)}

@@ -100,18 +100,34 @@ def _keywords(entity_type: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), entity_type)
 
 
+#: Bytes on either side of a span in which its neighbours are looked for first.
+NEAR_BYTES = 384
+
+
+def _neighbours(near: Column, whole: Column, is_whole: Column, touching: Column, edge: str, n: int, turned) -> Column:
+    """The n words next to a span. `near` is the text beside it up to a few hundred bytes, which is enough if it has one word
+    more (the farthest may be cut); else `whole` is searched. A word that reaches into the span is none of them."""
+
+    def words(side: Column) -> Column:
+        side = F.when(touching, F.regexp_replace(side, edge, "")).otherwise(side)
+        return turned(F.regexp_extract_all(side, F.lit(f"{C.TOKEN}+"), F.lit(0)))
+
+    first = F.array(words(near))
+    return F.get(F.transform(first, lambda w: F.slice(F.when(is_whole | (F.size(w) > n), w).otherwise(words(whole)), 1, n)), F.lit(0))
+
+
 def words_before(text: Column, s: Column, n: int) -> Column:
     """Up to n whole words that end before a span, nearest first; a word that reaches into the span is none of them."""
-    head = T.byte_slice(text, F.lit(0).cast("bigint"), s["start"])
-    head = F.when(s["text"].rlike(f"^{C.TOKEN}"), F.regexp_replace(head, f"{C.TOKEN}+$", "")).otherwise(head)
-    words = F.regexp_extract_all(head, F.lit(f"{C.TOKEN}+"), F.lit(0))
-    return F.slice(F.reverse(words), 1, n)
+    zero, begin = F.lit(0).cast("bigint"), F.greatest(s["start"] - NEAR_BYTES, F.lit(0).cast("bigint"))
+    near, whole = T.byte_slice(text, begin, s["start"]), T.byte_slice(text, zero, s["start"])
+    return _neighbours(near, whole, begin == 0, s["text"].rlike(f"^{C.TOKEN}"), f"{C.TOKEN}+$", n, F.reverse)
 
 
 def words_after(text: Column, s: Column, n: int) -> Column:
-    tail = T.byte_slice(text, s["end"], T.byte_length(text))
-    tail = F.when(s["text"].rlike(f"{C.TOKEN}$"), F.regexp_replace(tail, f"^{C.TOKEN}+", "")).otherwise(tail)
-    return F.slice(F.regexp_extract_all(tail, F.lit(f"{C.TOKEN}+"), F.lit(0)), 1, n)
+    length = T.byte_length(text)
+    end = F.least(s["end"] + NEAR_BYTES, length)
+    near, whole = T.byte_slice(text, s["end"], end), T.byte_slice(text, s["end"], length)
+    return _neighbours(near, whole, end == length, s["text"].rlike(f"{C.TOKEN}$"), f"^{C.TOKEN}+", n, lambda words: words)
 
 
 def boosted(text: Column, spans: Column, window: int = 5, boost: float = 0.15) -> Column:
