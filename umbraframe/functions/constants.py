@@ -1,6 +1,9 @@
 """They define results and must be exactly these."""
 
-ENTITY_TYPES = "PERSON EMAIL PHONE CREDIT_CARD SSN IBAN IP_ADDRESS LOCATION ORGANIZATION ADDRESS URL USERNAME PASSWORD BANK_ACCOUNT DATE MISC".split()
+ENTITY_TYPES = [
+    "PERSON", "EMAIL", "PHONE", "CREDIT_CARD", "SSN", "IBAN", "IP_ADDRESS", "LOCATION", "ORGANIZATION", "ADDRESS", "URL", "USERNAME",
+    "PASSWORD", "BANK_ACCOUNT", "DATE", "MISC",
+]
 
 # Recognisers in order: (type, pattern, base score). \d, \s and \b are Unicode-aware, hence (?U).
 EMAIL = r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
@@ -28,23 +31,26 @@ RECOGNISERS = [
     ("IBAN", IBAN, 0.80),
     ("DATE", DATE, 0.60),
 ]
-STRUCTURED = "CREDIT_CARD IBAN SSN EMAIL PHONE IP_ADDRESS DATE".split()
+STRUCTURED = ["CREDIT_CARD", "IBAN", "SSN", "EMAIL", "PHONE", "IP_ADDRESS", "DATE"]
 
 # Words that raise the score of a span of their type nearby.
 CONTEXT_KEYWORDS = {
-    "PERSON": "name named called mr mrs ms dr prof author patient client employee contact person user owner recipient sender",
-    "EMAIL": "email e-mail mail contact send write reach address",
-    "PHONE": "phone call tel telephone mobile cell fax number dial reach",
-    "LOCATION": "address street city state country zip postal live lives located from born based",
-    "ADDRESS": "address street st road rd avenue ave lane ln zip postal",
-    "URL": "url link website web site homepage profile",
-    "USERNAME": "username user handle login account profile",
-    "PASSWORD": "password passcode secret credential token",
-    "SSN": "ssn social security tax identification id",
-    "CREDIT_CARD": "card credit debit visa mastercard amex payment cc",
-    "IBAN": "iban bank account transfer wire routing",
-    "BANK_ACCOUNT": "bank account routing transfer wire swift bic",
-    "DATE": "born birthday dob date birth issued expires expiry",
+    "PERSON": [
+        "name", "named", "called", "mr", "mrs", "ms", "dr", "prof", "author", "patient", "client", "employee", "contact", "person", "user",
+        "owner", "recipient", "sender",
+    ],
+    "EMAIL": ["email", "e-mail", "mail", "contact", "send", "write", "reach", "address"],
+    "PHONE": ["phone", "call", "tel", "telephone", "mobile", "cell", "fax", "number", "dial", "reach"],
+    "LOCATION": ["address", "street", "city", "state", "country", "zip", "postal", "live", "lives", "located", "from", "born", "based"],
+    "ADDRESS": ["address", "street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "zip", "postal"],
+    "URL": ["url", "link", "website", "web", "site", "homepage", "profile"],
+    "USERNAME": ["username", "user", "handle", "login", "account", "profile"],
+    "PASSWORD": ["password", "passcode", "secret", "credential", "token"],
+    "SSN": ["ssn", "social", "security", "tax", "identification", "id"],
+    "CREDIT_CARD": ["card", "credit", "debit", "visa", "mastercard", "amex", "payment", "cc"],
+    "IBAN": ["iban", "bank", "account", "transfer", "wire", "routing"],
+    "BANK_ACCOUNT": ["bank", "account", "routing", "transfer", "wire", "swift", "bic"],
+    "DATE": ["born", "birthday", "dob", "date", "birth", "issued", "expires", "expiry"],
 }
 TOKEN = r"[\p{IsAlphabetic}\p{N}'\-]"
 
@@ -63,8 +69,8 @@ CATEGORY_THRESHOLDS = {
     "IP_ADDRESS": (0.50, 0.20), "LOCATION": (0.50, 0.20), "ORGANIZATION": (0.50, 0.20), "URL": (0.50, 0.30), "DATE": (0.40, 0.30), "MISC": (0.50, 0.20),
 }
 GROUPS = {
-    "Identity": "PERSON USERNAME", "Contact": "EMAIL PHONE ADDRESS", "Financial": "CREDIT_CARD IBAN BANK_ACCOUNT SSN", "Network": "IP_ADDRESS",
-    "Location": "LOCATION", "Password": "PASSWORD", "Organization": "ORGANIZATION", "Low-signal": "URL DATE MISC",
+    "Identity": ["PERSON", "USERNAME"], "Contact": ["EMAIL", "PHONE", "ADDRESS"], "Financial": ["CREDIT_CARD", "IBAN", "BANK_ACCOUNT", "SSN"], "Network": ["IP_ADDRESS"],
+    "Location": ["LOCATION"], "Password": ["PASSWORD"], "Organization": ["ORGANIZATION"], "Low-signal": ["URL", "DATE", "MISC"],
 }
 GROUPS_OFF = ["Low-signal"]
 
@@ -78,70 +84,82 @@ DICTIONARY = [
 # Label taxonomies of the models: type -> labels.
 NER_LABELS = {
     "ai4privacy": {
-        "PERSON": "PER PERSON NAME FULL_NAME FIRSTNAME FIRST_NAME GIVEN_NAME LASTNAME LAST_NAME FAMILY_NAME MIDDLENAME MIDDLE_NAME",
-        "ORGANIZATION": "ORG ORGANIZATION ORGANISATION COMPANY COMPANY_NAME COMPANYNAME BUSINESS",
-        "LOCATION": "LOC LOCATION GPE CITY COUNTRY STATE COUNTY REGION",
-        "ADDRESS": "ADDRESS STREET STREET_ADDRESS STREETADDRESS POSTAL_ADDRESS POSTCODE POSTAL_CODE ZIP ZIPCODE ZIP_CODE",
-        "URL": "URL URI WEBSITE WEB_URL",
-        "USERNAME": "USERNAME USER_NAME HANDLE LOGIN",
-        "PASSWORD": "PASSWORD PASSWD PASSCODE PIN",
-        "BANK_ACCOUNT": "BANK_ACCOUNT BANKACCOUNT ACCOUNT_NUMBER ACCOUNTNUMBER BANK_ACCOUNT_NUMBER",
-        "EMAIL": "EMAIL EMAIL_ADDRESS MAIL",
-        "PHONE": "PHONE PHONE_NUMBER PHONENUMBER TELEPHONE MOBILE",
-        "CREDIT_CARD": "CREDIT_CARD CREDITCARD CREDIT_CARD_NUMBER CREDITCARDNUMBER",
-        "SSN": "SSN SOCIAL_SECURITY_NUMBER SOCIALSECURITYNUMBER",
-        "IBAN": "IBAN IBAN_CODE",
-        "IP_ADDRESS": "IP IP_ADDRESS IPV4 IPV6",
-        "DATE": "DATE DOB DATE_OF_BIRTH BIRTHDATE",
-        "MISC": "MISC PASSPORT PASSPORT_NUMBER DRIVER_LICENSE DRIVERS_LICENSE NATIONAL_ID ID_CARD",
+        "PERSON": [
+            "PER", "PERSON", "NAME", "FULL_NAME", "FIRSTNAME", "FIRST_NAME", "GIVEN_NAME", "LASTNAME", "LAST_NAME", "FAMILY_NAME",
+            "MIDDLENAME", "MIDDLE_NAME",
+        ],
+        "ORGANIZATION": ["ORG", "ORGANIZATION", "ORGANISATION", "COMPANY", "COMPANY_NAME", "COMPANYNAME", "BUSINESS"],
+        "LOCATION": ["LOC", "LOCATION", "GPE", "CITY", "COUNTRY", "STATE", "COUNTY", "REGION"],
+        "ADDRESS": [
+            "ADDRESS", "STREET", "STREET_ADDRESS", "STREETADDRESS", "POSTAL_ADDRESS", "POSTCODE", "POSTAL_CODE", "ZIP", "ZIPCODE",
+            "ZIP_CODE",
+        ],
+        "URL": ["URL", "URI", "WEBSITE", "WEB_URL"],
+        "USERNAME": ["USERNAME", "USER_NAME", "HANDLE", "LOGIN"],
+        "PASSWORD": ["PASSWORD", "PASSWD", "PASSCODE", "PIN"],
+        "BANK_ACCOUNT": ["BANK_ACCOUNT", "BANKACCOUNT", "ACCOUNT_NUMBER", "ACCOUNTNUMBER", "BANK_ACCOUNT_NUMBER"],
+        "EMAIL": ["EMAIL", "EMAIL_ADDRESS", "MAIL"],
+        "PHONE": ["PHONE", "PHONE_NUMBER", "PHONENUMBER", "TELEPHONE", "MOBILE"],
+        "CREDIT_CARD": ["CREDIT_CARD", "CREDITCARD", "CREDIT_CARD_NUMBER", "CREDITCARDNUMBER"],
+        "SSN": ["SSN", "SOCIAL_SECURITY_NUMBER", "SOCIALSECURITYNUMBER"],
+        "IBAN": ["IBAN", "IBAN_CODE"],
+        "IP_ADDRESS": ["IP", "IP_ADDRESS", "IPV4", "IPV6"],
+        "DATE": ["DATE", "DOB", "DATE_OF_BIRTH", "BIRTHDATE"],
+        "MISC": ["MISC", "PASSPORT", "PASSPORT_NUMBER", "DRIVER_LICENSE", "DRIVERS_LICENSE", "NATIONAL_ID", "ID_CARD"],
     },
     "bardsai": {
-        "USERNAME": "ACCOUNT_IDENTIFIER CONTACT_HANDLE",
-        "PASSWORD": "AUTH_SECRET",
-        "BANK_ACCOUNT": "BANK_ACCOUNT_IDENTIFIER",
-        "DATE": "DATE_OF_BIRTH",
-        "EMAIL": "EMAIL_ADDRESS",
-        "LOCATION": "GEO_LOCATION LOCATION",
-        "URL": "IDENTIFYING_LINK",
-        "IP_ADDRESS": "IP_ADDRESS",
-        "ORGANIZATION": "ORGANIZATION_IDENTIFIER ORGANIZATION_NAME",
-        "CREDIT_CARD": "PAYMENT_CARD PAYMENT_CARD_SECURITY",
-        "PERSON": "PERSON_ALIAS PERSON_NAME",
-        "PHONE": "PHONE_NUMBER",
-        "ADDRESS": "POSTAL_ADDRESS",
-        "MISC": "BIOMETRIC_DATA CRIMINAL_OFFENCE_DATA DEVICE_IDENTIFIER DOCUMENT_IDENTIFIER DOCUMENT_REFERENCE ETHNIC_ORIGIN FINANCIAL_AMOUNT HEALTH_DATA"
-        " PERSON_ATTRIBUTE PERSON_IDENTIFIER PERSON_ROLE_OR_TITLE POLITICAL_OPINION PROPER_NAME RELIGION_OR_BELIEF SEXUAL_ORIENTATION TRADE_UNION_MEMBERSHIP VEHICLE_IDENTIFIER",
+        "USERNAME": ["ACCOUNT_IDENTIFIER", "CONTACT_HANDLE"],
+        "PASSWORD": ["AUTH_SECRET"],
+        "BANK_ACCOUNT": ["BANK_ACCOUNT_IDENTIFIER"],
+        "DATE": ["DATE_OF_BIRTH"],
+        "EMAIL": ["EMAIL_ADDRESS"],
+        "LOCATION": ["GEO_LOCATION", "LOCATION"],
+        "URL": ["IDENTIFYING_LINK"],
+        "IP_ADDRESS": ["IP_ADDRESS"],
+        "ORGANIZATION": ["ORGANIZATION_IDENTIFIER", "ORGANIZATION_NAME"],
+        "CREDIT_CARD": ["PAYMENT_CARD", "PAYMENT_CARD_SECURITY"],
+        "PERSON": ["PERSON_ALIAS", "PERSON_NAME"],
+        "PHONE": ["PHONE_NUMBER"],
+        "ADDRESS": ["POSTAL_ADDRESS"],
+        "MISC": [
+            "BIOMETRIC_DATA", "CRIMINAL_OFFENCE_DATA", "DEVICE_IDENTIFIER", "DOCUMENT_IDENTIFIER", "DOCUMENT_REFERENCE", "ETHNIC_ORIGIN",
+            "FINANCIAL_AMOUNT", "HEALTH_DATA", "PERSON_ATTRIBUTE", "PERSON_IDENTIFIER", "PERSON_ROLE_OR_TITLE", "POLITICAL_OPINION",
+            "PROPER_NAME", "RELIGION_OR_BELIEF", "SEXUAL_ORIENTATION", "TRADE_UNION_MEMBERSHIP", "VEHICLE_IDENTIFIER",
+        ],
     },
     "hikmaai": {
-        "PERSON": "GIVENNAME SURNAME",
-        "DATE": "DATEOFBIRTH",
-        "USERNAME": "USERNAME",
-        "PASSWORD": "PASSWORD",
-        "EMAIL": "EMAIL",
-        "PHONE": "TELEPHONENUM",
-        "ADDRESS": "STREET BUILDINGNUM ZIPCODE",
-        "LOCATION": "CITY",
-        "CREDIT_CARD": "CREDITCARDNUMBER",
-        "BANK_ACCOUNT": "ACCOUNTNUM",
-        "SSN": "SOCIALNUM",
-        "MISC": "TAXNUM DRIVERLICENSENUM IDCARDNUM",
+        "PERSON": ["GIVENNAME", "SURNAME"],
+        "DATE": ["DATEOFBIRTH"],
+        "USERNAME": ["USERNAME"],
+        "PASSWORD": ["PASSWORD"],
+        "EMAIL": ["EMAIL"],
+        "PHONE": ["TELEPHONENUM"],
+        "ADDRESS": ["STREET", "BUILDINGNUM", "ZIPCODE"],
+        "LOCATION": ["CITY"],
+        "CREDIT_CARD": ["CREDITCARDNUMBER"],
+        "BANK_ACCOUNT": ["ACCOUNTNUM"],
+        "SSN": ["SOCIALNUM"],
+        "MISC": ["TAXNUM", "DRIVERLICENSENUM", "IDCARDNUM"],
     },
 }
 # Labels of raw corpus records beside the types' own names: type -> labels.
 CORPUS_LABELS = {
-    "USERNAME": "ACCOUNT_NAME",
-    "MISC": "AGE DRIVER_LICENSE DRIVER_LICENSE_NUMBER GENDER ID_CARD ID_CARD_NUMBER PASSPORT PASSPORT_NUMBER PIN POSTAL_CODE TAX_ID TAX_IDENTIFICATION_NUMBER ZIP_CODE",
-    "DATE": "BIRTH_DATE DATE_OF_BIRTH DOB",
-    "ADDRESS": "BUILDING_NUMBER STREET STREET_ADDRESS",
-    "LOCATION": "CITY COUNTRY STATE",
-    "CREDIT_CARD": "CREDIT_CARD_NUMBER CREDITCARDNUMBER",
-    "EMAIL": "EMAIL_ADDRESS",
-    "PERSON": "FIRST_NAME FIRSTNAME FULL_NAME GIVEN_NAME LAST_NAME LASTNAME NAME",
-    "PHONE": "PHONE_NUMBER",
-    "SSN": "SOCIALNUMBER SOCIAL_SECURITY_NUMBER",
+    "USERNAME": ["ACCOUNT_NAME"],
+    "MISC": [
+        "AGE", "DRIVER_LICENSE", "DRIVER_LICENSE_NUMBER", "GENDER", "ID_CARD", "ID_CARD_NUMBER", "PASSPORT", "PASSPORT_NUMBER", "PIN",
+        "POSTAL_CODE", "TAX_ID", "TAX_IDENTIFICATION_NUMBER", "ZIP_CODE",
+    ],
+    "DATE": ["BIRTH_DATE", "DATE_OF_BIRTH", "DOB"],
+    "ADDRESS": ["BUILDING_NUMBER", "STREET", "STREET_ADDRESS"],
+    "LOCATION": ["CITY", "COUNTRY", "STATE"],
+    "CREDIT_CARD": ["CREDIT_CARD_NUMBER", "CREDITCARDNUMBER"],
+    "EMAIL": ["EMAIL_ADDRESS"],
+    "PERSON": ["FIRST_NAME", "FIRSTNAME", "FULL_NAME", "GIVEN_NAME", "LAST_NAME", "LASTNAME", "NAME"],
+    "PHONE": ["PHONE_NUMBER"],
+    "SSN": ["SOCIALNUMBER", "SOCIAL_SECURITY_NUMBER"],
 }
 # Types that the coverage sampler balances, in order.
-SAMPLED_TYPES = "ADDRESS CREDIT_CARD DATE EMAIL LOCATION PERSON PHONE SSN".split()
+SAMPLED_TYPES = ["ADDRESS", "CREDIT_CARD", "DATE", "EMAIL", "LOCATION", "PERSON", "PHONE", "SSN"]
 
 # Synthetic values by type, in order of use.
 POOLS = {

@@ -16,7 +16,7 @@ LANGUAGES, BUCKETS = ("en", "de"), ("short", "medium", "long")
 def corpus_type(label: Column) -> Column:
     """A raw label's type: the types' own names and the fixed aliases; null for others."""
     name = F.regexp_replace(F.regexp_replace(F.upper(F.trim(label)), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
-    table = {t: t for t in C.ENTITY_TYPES} | {x: t for t, names in C.CORPUS_LABELS.items() for x in names.split()}
+    table = {t: t for t in C.ENTITY_TYPES} | {x: t for t, names in C.CORPUS_LABELS.items() for x in names}
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), name)
 
 

@@ -96,7 +96,7 @@ def checked(spans: Column) -> Column:
 
 
 def _keywords(entity_type: Column) -> Column:
-    pairs = [x for t, words in C.CONTEXT_KEYWORDS.items() for x in (F.lit(t), F.array(*map(F.lit, words.split())))]
+    pairs = [x for t, words in C.CONTEXT_KEYWORDS.items() for x in (F.lit(t), F.array(*map(F.lit, words)))]
     return F.try_element_at(F.create_map(*pairs), entity_type)
 
 

@@ -38,7 +38,7 @@ def label_name(raw: Column) -> Column:
 
 def label_table(spark: SparkSession) -> DataFrame:
     """(model, label, entity_type): 138 fixed rows."""
-    rows = [(m, label, t) for m, types in C.NER_LABELS.items() for t, labels in types.items() for label in labels.split()]
+    rows = [(m, label, t) for m, types in C.NER_LABELS.items() for t, labels in types.items() for label in labels]
     return spark.createDataFrame(rows, "model string, label string, entity_type string")
 
 

@@ -17,12 +17,12 @@ def _map(table: dict) -> Column:
 
 
 def group_table(spark: SparkSession) -> DataFrame:
-    rows = [(t, g, g not in C.GROUPS_OFF) for g, types in C.GROUPS.items() for t in types.split()]
+    rows = [(t, g, g not in C.GROUPS_OFF) for g, types in C.GROUPS.items() for t in types]
     return spark.createDataFrame(rows, "entity_type string, group_name string, default_on boolean")
 
 
 def group_of(entity_type: Column) -> Column:
-    return F.try_element_at(_map({t: g for g, types in C.GROUPS.items() for t in types.split()}), entity_type)
+    return F.try_element_at(_map({t: g for g, types in C.GROUPS.items() for t in types}), entity_type)
 
 
 def in_enabled_group(spans: Column, enabled: dict[str, bool] | None = None) -> Column:
@@ -44,7 +44,7 @@ def threshold(entity_type: Column, slider: Column | float, mode: str = "global",
 
 def minimum_threshold(slider: float, mode: str = "global", overrides: dict[str, float] | None = None) -> float:
     """The smallest threshold of all types: what the pipeline itself needs to keep."""
-    group = {t: g for g, types in C.GROUPS.items() for t in types.split()}
+    group = {t: g for g, types in C.GROUPS.items() for t in types}
     out = []
     for t, (b, d) in C.CATEGORY_THRESHOLDS.items():
         position = (overrides or {}).get(group[t], slider) if mode == "individual" else slider

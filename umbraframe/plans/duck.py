@@ -59,7 +59,7 @@ CHECK = f"CASE WHEN source <> 'regex' THEN true WHEN entity_type = 'CREDIT_CARD'
 
 _HEAD = f"CASE WHEN regexp_matches(t, '^{TOKEN}') THEN regexp_replace(substr(text, 1, cs), '{TOKEN}+$', '') ELSE substr(text, 1, cs) END"
 _TAIL = f"CASE WHEN regexp_matches(t, '{TOKEN}$') THEN regexp_replace(substr(text, ce + 1), '^{TOKEN}+', '') ELSE substr(text, ce + 1) END"
-_WORDS = "CASE entity_type " + " ".join(f"WHEN '{t}' THEN [{', '.join(repr(w) for w in words.split())}]" for t, words in C.CONTEXT_KEYWORDS.items()) + " ELSE []::VARCHAR[] END"
+_WORDS = "CASE entity_type " + " ".join(f"WHEN '{t}' THEN [{', '.join(repr(w) for w in words)}]" for t, words in C.CONTEXT_KEYWORDS.items()) + " ELSE []::VARCHAR[] END"
 
 
 def boosted(source: str, ner: bool = False, window: int = 5) -> str:

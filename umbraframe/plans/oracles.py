@@ -39,7 +39,7 @@ _NER = f"SELECT prompt_id, s AS span_start, e AS span_end, entity_type, round(sc
 ORACLES["ner_dictionary"] = f"SELECT id AS prompt_id, {_SPAN}, source FROM ({duck.raw_spans(PROMPT_ROWS, True, [])}) r"
 ORACLES["detect_with_ner"] = _NER
 
-_LABELS = ", ".join(f"('{m}', '{label}', '{t}')" for m, types in C.NER_LABELS.items() for t, labels in types.items() for label in labels.split())
+_LABELS = ", ".join(f"('{m}', '{label}', '{t}')" for m, types in C.NER_LABELS.items() for t, labels in types.items() for label in labels)
 _NAMED = f"""(SELECT i.*, l.label, l.entity_type, l.model FROM (SELECT *, upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_label, '^[BbIi]-', ''), '[\\[\\]<>{{}}()]', '', 'g'),
   '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS name FROM ({Q._ITEMS}) x) i JOIN (VALUES {_LABELS}) l(model, label, entity_type) ON l.model = i.model_name AND l.label = i.name)"""
 ORACLES["ner_label_map"] = f"SELECT model, label, entity_type, count(*) AS n FROM {_NAMED} r GROUP BY ALL"
@@ -59,7 +59,7 @@ ORACLES["ner_chunks"] = r"""WITH RECURSIVE c AS (
   FROM (SELECT *, greatest(a + 1, b - 256) AS na FROM c WHERE b < n) x)
 SELECT doc_id, chunk, cast(a AS BIGINT) AS start_char, cast(b AS BIGINT) AS end_char, cast(strlen(substr(text, 1, a)) AS BIGINT) AS start_byte, cast(strlen(substr(text, 1, b)) AS BIGINT) AS end_byte, md5(substr(text, a + 1, b - a)) AS text FROM c"""
 
-_GROUP = duck.case("entity_type", {t: g for g, types in C.GROUPS.items() for t in types.split()})
+_GROUP = duck.case("entity_type", {t: g for g, types in C.GROUPS.items() for t in types})
 ORACLES["group_filter"] = f"SELECT * FROM ({_NER}) r WHERE {_GROUP} NOT IN ('Contact', 'Low-signal')"
 _BASE, _DELTA = (duck.case("entity_type", {t: v[k] for t, v in C.CATEGORY_THRESHOLDS.items()}) for k in (0, 1))
 _TYPES = ", ".join(f"('{t}')" for t in C.ENTITY_TYPES)
