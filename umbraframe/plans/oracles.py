@@ -52,6 +52,9 @@ ORACLES["ner_overlap_merge"] = f"""SELECT order_id, k.s AS span_start, k.e AS sp
   SELECT order_id, entity_type, list([struct_pack(s := cast(s AS BIGINT), e := cast(e AS BIGINT), score := cast(sc AS DOUBLE))] ORDER BY s, e, sc) AS l FROM {_NAMED} r GROUP BY order_id, entity_type) g) u"""
 ORACLES["ner_stitch"] = f"""SELECT prompt_id, cast(18 AS BIGINT) AS span_start, cast(18 + length(name) AS BIGINT) AS span_end, 'PERSON' AS entity_type, cast(CASE name WHEN 'Ada Lovelace' THEN 0.9 ELSE 0.8 END AS DOUBLE) AS score, name AS span_text, 'ner' AS source
   FROM (SELECT prompt_id, CASE prompt_id % 3 WHEN 0 THEN 'Ada Lovelace' WHEN 1 THEN 'David Smith' END AS name FROM ({PROMPTS}) p) q WHERE name IS NOT NULL"""
+# The e-mail address stands with a number in it, so that item isn't found; the others are found one behind the other.
+ORACLES["ner_model_output"] = f"""SELECT prompt_id, cast(strlen(substr(text, 1, strpos(text, v) - 1)) AS BIGINT) AS span_start, cast(strlen(substr(text, 1, strpos(text, v) - 1)) + strlen(v) AS BIGINT) AS span_end, entity_type, cast(score AS DOUBLE) AS score, v AS span_text, 'ner' AS source
+  FROM ({PROMPTS}) p, (VALUES ('Ada Lovelace', 'PERSON', 0.9), ('David Smith', 'PERSON', 0.95), ('example', 'EMAIL', 0.85), ('Acme Corp', 'ORGANIZATION', 0.6)) i(v, entity_type, score) WHERE strpos(text, v) > 0"""
 ORACLES["ner_chunks"] = r"""WITH RECURSIVE c AS (
   SELECT doc_id, text, length(text) AS n, 0 AS chunk, 0 AS a, CASE WHEN length(text) <= 5000 THEN length(text) ELSE coalesce(nullif(5000 - length(regexp_extract(substr(text, 3001, 2000), '[^\s]*$')), 3000), 5000) END AS b FROM documents WHERE text <> ''
   UNION ALL
