@@ -16,12 +16,19 @@ cut = stored
 #: The same for what the next round of a loop joins again.
 cut_round = stored_round
 
-__all__ = ["cut", "cut_round", "held", "load", "map_batches", "partitions_for", "record_batch", "shared_dir", "texts_of", "unused", "work_folder"]
+__all__ = ["cut", "cut_round", "held", "load", "map_batches", "partitions_for", "record_batch", "release", "shared_dir", "texts_of", "unused", "work_folder"]
 
 #: Rows and bytes that one Arrow batch holds at most; a batch is what a Python worker has in memory.
 BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files and checkpoints that no frame needs any more. They go when the driver collects its garbage, which
+    a loop of small steps would hardly ever make it do."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark so that any store it can open works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import cut, cut_round
+from umbraframe.llm.common import cut, cut_round, release
 
 
 def _all_stars(edges: DataFrame) -> bool:
@@ -33,5 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(roots, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = cut_round(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct())
+        del both, least, large, roots, small
+        release(edges.sparkSession)
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())

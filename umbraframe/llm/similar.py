@@ -10,8 +10,8 @@ Jaccard similarity of the whole sets, and components of the verified pairs are t
 Pairs are tried in rounds, so that a group of near copies costs a few pairs for each member and not all pairs. First every class
 meets the least class that shares a key with it. Then, as long as a bucket (the classes of a key) lies in several components, its
 members meet some of its members, dealt by hash and more of them each round, and these leave the bucket; a bucket of up to BUCKET
-members gives all its pairs. Only pairs across components are tried, as others can't join any, and a pair is tried once. So no
-pair that could join two components is left out.
+members gives all its pairs. Only pairs across components are tried, as others can't join any, and a pair is tried once, in the bucket
+of its least common key. So no pair that could join two components is left out.
 
 A class that very many others meet is spread: its text goes to as many groups as SPREAD of them need.
 """
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import cut, cut_round, map_batches, partitions_for, record_batch, texts_of
+from umbraframe.llm.common import cut, cut_round, map_batches, partitions_for, record_batch, release, texts_of
 from umbraframe.llm.components import components
 from umbraframe.llm.neardedup import first_of_each, links, majority, marked, shingle_hashes
 
@@ -143,20 +143,26 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         tried = cut_round((once if tried is None else tried.unionByName(once)).distinct())
         rest = members.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
         several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rest = cut_round(rest.join(several.select("key", "size"), "key").select("key", "fp", "n", "root", "size"))
+        rest = rest.join(several.select("key", "size"), "key").join(classes.select("fp", "keys"), "fp")
+        rest = cut_round(rest.select("key", "fp", "n", "root", "size", "keys"))
         if rest.isEmpty():
             break
         # Some members of each large bucket: the least of each share by hash, so that partial minima do the work.
-        share, own = F.pmod(F.xxhash64("fp"), F.lit(pivots)).alias("share"), F.min(F.struct("fp", "n", "root")).alias("p")
+        share, own = F.pmod(F.xxhash64("fp"), F.lit(pivots)).alias("share"), F.min(F.struct("fp", "n", "root", "keys")).alias("p")
         some = rest.where(F.col("size") > bucket).groupBy("key", share).agg(own).select("key", "p.*")
-        chosen = cut_round(rest.where(F.col("size") <= bucket).select("key", "fp", "n", "root").unionByName(some)).toDF("key", "b", "bn", "broot")
-        across = (F.col("root") != F.col("broot")) & _near_sizes("n", "bn")
+        chosen = cut_round(rest.where(F.col("size") <= bucket).select("key", "fp", "n", "root", "keys").unionByName(some)).toDF("key", "b", "bn", "broot", "bkeys")
+        # A pair is the business of the least key that it has in common: as long as its classes lie in two components, that bucket
+        # is open and has both, or one of them has met the other there.
+        own_key = F.array_min(F.array_intersect("keys", "bkeys")) == F.col("key")
+        across = (F.col("root") != F.col("broot")) & _near_sizes("n", "bn") & own_key
         # A pair of two chosen ones comes both ways round: the greater class is a.
         met = rest.join(chosen, "key").where(across & ((F.col("size") > bucket) | (F.col("fp") > F.col("b"))))
         new = met.groupBy(F.col("fp").alias("a"), "b").agg(F.max(F.ceil(F.col("size") / SPREAD)).alias("groups"))
         pairs = cut_round(new.join(tried.toDF("low", "high"), (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti"))
         members = cut_round(rest.join(chosen.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp", "n"))
         pivots *= 8
+        del found, once, rest, several, some, chosen, met, new
+        release(documents.sparkSession)
     rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return signed.select("id", "mark", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "mark", "component_id")
