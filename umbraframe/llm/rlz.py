@@ -245,6 +245,16 @@ def _kept(batches):
         yield record_batch({"id": batch.column("id"), "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
 
+def _told_apart(df: DataFrame) -> DataFrame:
+    """(id, mark, text) with mark 0 where an id has one text only, as nearly all do: then the mark costs a shuffle nothing."""
+    marks = df.where("id is not null").groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    several = cut(marks.where("low <> high").select(F.col("id").alias("own")))
+    if several.isEmpty():
+        return df.withColumn("mark", F.lit(0).cast("bigint"))
+    own = F.when(F.col("own").isNull(), F.lit(0)).otherwise(F.col("mark"))
+    return df.join(several, F.col("id") == F.col("own"), "left").select("id", own.cast("bigint").alias("mark"), "text")
+
+
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_words, n_removed, kept (words joined by a space) and spans (word ranges).
 
@@ -253,7 +263,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     of their own, in the order of a hash of their texts. A row without an id has no place among the others: nothing is
     removed from it, and it makes nothing a repeat. Other columns are ignored.
     """
-    df = marked(documents, id_col, text_col)
+    df = _told_apart(marked(documents, id_col, text_col))
     placed = df.where("id is not null")
     hot = df.sparkSession.sparkContext.broadcast(hot_sequences(placed.select("text")))  # at most HOT_SHARE hashes
     rows = map_batches(placed, _emit(hot), "anchor bigint, doc bigint, mark bigint, place bigint, hashes binary")
