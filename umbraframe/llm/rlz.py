@@ -29,6 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,11 +228,20 @@ def _factors(n: int, marks: list[int] | None) -> list[tuple[int, int]]:
     return list(zip(starts[heads].tolist(), (starts[tails] + WINDOW).tolist(), strict=True))
 
 
+def _packed(batches):
+    """Texts as they move to their marks: compressed, as they are most of what moves."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch)]
+        yield record_batch({"id": batch.column("id"), "mark": batch.column("mark"), "packed": pa.array(packed, pa.binary())})
+
+
 def _kept(batches):
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         kept, sizes, removed, spans = [], [], [], []
-        for text, marks in zip(texts_of(batch), batch.column("repeats").to_pylist(), strict=True):
-            words = words_of(text)
+        for packed, marks in zip(batch.column("packed").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
+            words = unpack.decompress(packed).split()
             factors = _factors(len(words), marks)
             left, at = [], 0
             for a, b in factors:
@@ -269,7 +279,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = map_batches(placed, _emit(hot), "anchor bigint, doc bigint, mark bigint, place bigint, hashes binary")
     rows = rows.repartition(partitions_for(df.sparkSession), "anchor").sortWithinPartitions("anchor", "doc", "mark", "place")
     found = map_batches(rows, _settle, "doc bigint, mark bigint, repeats bigint").groupBy(F.col("doc").alias("own_id"), F.col("mark").alias("own_mark")).agg(F.collect_list("repeats").alias("repeats"))
-    joined = df.join(found, (F.col("id") == F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left").select("id", "text", "repeats")
+    texts = map_batches(df, _packed, "id bigint, mark bigint, packed binary")
+    joined = texts.join(found, (F.col("id") == F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left").select("id", "packed", "repeats")
     out = map_batches(joined, _kept, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")
     return out.withColumnRenamed("id", id_col)
 
