@@ -283,8 +283,7 @@ def feedback_emitted(spark, sf_dir):
 
 @query(f"SELECT prompt_id, count(*) FILTER (WHERE entity_type <> 'EMAIL') AS enabled, count(*) AS total FROM ({_NAMED_SPANS}) x GROUP BY prompt_id")
 def enabled_counts(spark, sf_dir):
-    df = Q._with_ner(spark, sf_dir).select("prompt_id", overlay.counts(F.transform("spans", lambda s: s["entity_type"] != "EMAIL")).alias("c"))
-    return df.select("prompt_id", F.col("c.enabled").cast("bigint").alias("enabled"), F.col("c.total").cast("bigint").alias("total")).where("total > 0")
+    return overlay.counted(Q._with_ner(spark, sf_dir), F.transform("spans", lambda s: s["entity_type"] != "EMAIL"), "prompt_id")
 
 
 @query(f"SELECT prompt_id, s AS span_start, entity_type FROM ({_NAMED_SPANS}) x WHERE entity_type <> 'EMAIL' UNION ALL SELECT prompt_id, cast(strlen(substr(text, 1, strpos(text, 'born') - 1)) AS BIGINT), 'DATE' FROM ({PROMPTS}) p")
