@@ -42,3 +42,21 @@ def test_the_stage_drops_edited_copies(spark, tmp_path):
     kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path)).collect()}
     want = {k for k, root in expected(docs).items() if k == root}
     assert kept == want and len(want) < 75
+
+
+def test_a_family_that_is_half_alike_costs_few_pairs(spark, monkeypatch):
+    """Copies of one text with so many words changed that hardly any two are similar, and some near copies."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    docs = {}
+    for k in range(300):
+        words = list(base)
+        for at in r.sample(range(150), 12 if k % 4 else r.randint(0, 3)):
+            words[at] = f"w{r.randrange(4000)}"
+        docs[k] = " ".join(words)
+    tried, whole = [], similar._similar_pairs
+    monkeypatch.setattr(similar, "_similar_pairs", lambda pairs, packed: tried.append(pairs.count()) or whole(pairs, packed))
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in similar.similar_groups(df).collect()}
+    assert got == expected(docs) and len(set(got.values())) > 200
+    assert sum(tried) < 4 * len(docs)
